@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Spark bring this package to Python workers, whose path need not have it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    to = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="lodestrata-")), "lodestrata_llm.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "lodestrata")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), top))
+    sc.addPyFile(to)
+    _shipped.add(sc.applicationId)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

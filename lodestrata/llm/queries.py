@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .line_dedup import line_dedup
 from .packing import packing
+from .piece_bpe import encode_digests
 from .quality_rules import quality_rules
 
 
@@ -28,10 +29,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 
 #: White space that a line's key loses, as DuckDB characters.

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .line_dedup import line_dedup
+from .near_dedup import near_groups
 from .packing import packing
 from .piece_bpe import encode_digests
 from .quality_rules import quality_rules
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,6 +40,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,

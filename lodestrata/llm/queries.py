@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .fingerprints import fingerprints
 from .line_dedup import line_dedup
 from .near_dedup import near_groups
 from .packing import packing
@@ -39,12 +40,17 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 #: White space that a line's key loses, as DuckDB characters.

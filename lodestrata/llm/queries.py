@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .fingerprints import fingerprints
 from .line_dedup import line_dedup
+from .lm_scores import lm_scores
 from .near_dedup import near_groups
 from .packing import packing
 from .piece_bpe import encode_digests
@@ -44,6 +45,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_fingerprints": op9_fingerprints,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 #: White space that a line's key loses, as DuckDB characters.
@@ -66,4 +73,18 @@ judged as (select doc_id, pos, line, keeper is not null and keeper <> doc_id as
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where lost)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
 from judged group by doc_id""",
+    "op10_lm_scores": """
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+tokens as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i, unnest(list_prepend(null, ws[:-2])) as v from words),
+uni as (select w, count(*) as c from tokens group by w),
+pairs as (select v, w, count(*) as c from tokens where i > 0 group by v, w),
+total as (select count(*) as n from tokens),
+scored as (select doc_id, i > 0 and p.c < 2 as backed,
+  case when i = 0 then ln(u.c::double) - ln(n::double)
+    when p.c >= 2 then ln(p.c::double) - ln(b.c::double) else ln(0.4::double) + (ln(u.c::double) - ln(n::double)) end as s
+  from tokens t cross join total join uni u using (w) left join uni b on b.w = t.v left join pairs p on p.v = t.v and p.w = t.w),
+summed as (select doc_id, count(*) as n_words, count(*) filter (where backed) as n_backoff, sum(s) as score from scored group by doc_id)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_backoff, 0)::bigint as n_backoff,
+  round(coalesce(score, 0.0::double), 4) as log_score, round(score / n_words, 6) as mean_log_score
+from documents left join summed using (doc_id)""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .fingerprints import fingerprints
+from .html_extract import html_extract
 from .line_dedup import line_dedup
 from .lm_scores import lm_scores
 from .near_dedup import near_groups
@@ -41,6 +42,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(read(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_html_extract": op8_html_extract,
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_scores": op10_lm_scores,
 }

@@ -2,47 +2,72 @@
 
 from __future__ import annotations
 
-import regex
-from tokenizers import Tokenizer
-
-#: The published pre-token pattern of this kind of byte-level BPE (a fixed value).
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters on which Unicode versions of pattern engines may differ; a text with one takes the library's whole path.
-UNSURE = regex.compile(r"[^\x09-\x0d\x20-\x7e¡-ɏ‐-‧]")
-CACHED = 300_000
+import os
+import re
+import struct
+from collections.abc import Iterator
 
+from tokenizers import Tokenizer
 
-class PreTokenIds(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers. Stops to grow at ``CACHED`` entries."""
+#: Letters and numbers (Unicode L and N) among the characters of ``UNSURE``'s complement; fixed values.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_NUMBERS = "0-9²³¹¼½¾"
+#: The published pre-token pattern of this kind of byte-level BPE (a fixed value), with its classes written out.
+PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+#: Any other character than these: a text with one takes the library's whole path.
+UNSURE = re.compile(r"[^\x09-\x0d\x20-\x7e¡-ɏ‐-‧]")
+CACHED = 500_000
+#: Characters whose pre-tokens are encoded at a time.
+CHUNK_CHARS = 500_000
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(self) < CACHED:
-            self[piece] = ids
-        return ids
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ByteBpe:
-    """Ids exactly as ``tokenizers`` gives them with add_special_tokens=False."""
+    """Ids exactly as ``tokenizers`` gives them with add_special_tokens=False, as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids = PreTokenIds(self.tokenizer)
+        self.ids: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
         """Whether splitting by PATTERN is sure to agree with the library."""
         return not UNSURE.search(text) and not any(s in text for s in self.special)
 
+    def whole(self, text: str) -> bytes:
+        """The library's own path."""
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Make sure that ``pieces`` are in the cache; returns those to be dropped after use, beyond its size."""
+        new = list(pieces.difference(self.ids))
+        room = max(0, CACHED - len(self.ids))
+        self.ids.update(zip(new, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return new[room:]
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        start = chars = 0
+        for i, t in enumerate(texts):
+            chars += len(t)
+            if chars >= CHUNK_CHARS or i == len(texts) - 1:
+                yield from self._chunk(texts[start : i + 1])
+                start, chars = i + 1, 0
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        pieces = [PATTERN.findall(t) if self.plain(t) else None for t in texts]
+        extra = self.learn(set().union(*(p for p in pieces if p is not None)))
+        of = self.ids.__getitem__
+        out = [b"".join(map(of, p)) if p is not None else self.whole(t) for p, t in zip(pieces, texts, strict=True)]
+        for piece in extra:
+            del self.ids[piece]
+        return out
+
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        if self.plain(text):
-            return b"".join(map(self.ids.__getitem__, PATTERN.findall(text)))
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._chunk([text])[0]
 
 
 _loaded: dict[str, ByteBpe] = {}

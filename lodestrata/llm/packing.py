@@ -44,8 +44,9 @@ def _first_pass(path: str, window: int):
         ranks = [0] * window
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode(text or "") + b"\0\0\0\0"
+            encoded = bpe.encode_many([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += b"\0\0\0\0"
                 n = len(ids) // 4
                 whole, rest = divmod(n, window)
                 crcs = [zlib.crc32(ids[4 * window * j : 4 * window * (j + 1)]) for j in range(whole)]

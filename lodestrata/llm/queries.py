@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import REPLY_SCHEMA, format_chats, from_turns
 from .common import read
 from .fingerprints import fingerprints
 from .html_extract import html_extract
@@ -34,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_edits(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), standard_edits(F.col("text")))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(from_turns(read(spark, sf_dir, "conversations")), {"reply": REPLY_SCHEMA})
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_chat_format": op4_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_sentencepiece": op7_sentencepiece,
@@ -85,6 +91,21 @@ judged as (select doc_id, pos, line, keeper is not null and keeper <> doc_id as
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where lost)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
 from judged group by doc_id""",
+    "op4_chat_format": """
+with m as (select conv_id, turn, role, coalesce(text, '') as text,
+    case role when 'user' then 'call_' || turn when 'assistant' then 'call_' || (turn - 1) end as id from conversations),
+j as (select a.*, b.turn is not null as linked, b.turn as call_turn, exists (select 1 from m r where r.conv_id = a.conv_id and a.role = 'user' and r.role = 'assistant' and r.id = a.id) as answered
+  from m a left join m b on a.role = 'assistant' and b.role = 'user' and b.conv_id = a.conv_id and b.id = a.id),
+s as (select *, greatest(turn, coalesce(call_turn, turn)) as place,
+  case role when 'user' then '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(id) || ',"name":"reply","role":"user","turn":' || turn || '}'
+    when 'assistant' then '{"content":' || to_json(text) || ',"id":' || to_json(id) || ',"role":"assistant","turn":' || turn || '}'
+    else '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"turn":' || turn || '}' end as json from j)
+select conv_id, count(*)::bigint as n_messages, count(*) filter (where linked)::bigint as n_linked,
+  count(*) filter (where role = 'user' and not answered)::bigint as n_unanswered,
+  count(*) filter (where role = 'assistant' and not linked)::bigint as n_orphans, 0::bigint as n_duplicates,
+  count(*) filter (where role = 'user' and text = '')::bigint as n_invalid, 0::bigint as n_cyclic,
+  '[' || string_agg(json, ',' order by place, turn) || ']' as chat
+from s group by conv_id""",
     "op10_lm_scores": """
 with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
 tokens as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i, unnest(list_prepend(null, ws[:-2])) as v from words),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialise
+from .common import fresh, let, materialise
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -77,9 +77,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text; each row of ``docs`` comes back once."""
-    b = bitmaps.select(F.col("doc_id").alias("b_doc_"), F.col("row").alias("b_row_"), F.col("drops").alias("b_drops_"))
+    doc, row, drops = (fresh(docs, x) for x in ("b_doc", "b_row", "b_drops"))
+    b = bitmaps.select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("drops").alias(drops))
     text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(b, docs["doc_id"].eqNullSafe(b["b_doc_"]) & (F.xxhash64(text) == b["b_row_"]), "left")
+    joined = docs.join(b, docs["doc_id"].eqNullSafe(b[doc]) & (F.xxhash64(text) == b[row]), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def kept(lines: Column) -> Column:
@@ -89,13 +90,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             rest = F.slice(lines, edge(F.size(d)) + 1, F.size(lines) - edge(F.size(d)))
             return F.flatten(F.concat(parts, F.array(rest)))
 
-        return let(F.col("b_drops_"), between)
+        return let(F.col(drops), between)
 
     split = F.split(text, "\n")
     out = {
         "n_lines": F.size(split).cast("long"),
-        "n_dropped": F.coalesce(F.aggregate("b_drops_", F.lit(0), lambda a, r: a + r["length"]), F.lit(0)).cast("long"),
-        "kept_text": F.when(F.col("b_drops_").isNull(), text).otherwise(F.array_join(let(split, kept), "\n")),
+        "n_dropped": F.coalesce(F.aggregate(drops, F.lit(0), lambda a, r: a + r["length"]), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col(drops).isNull(), text).otherwise(F.array_join(let(split, kept), "\n")),
     }
     return joined.select(*[c for c in docs.columns if c not in out], *[v.alias(k) for k, v in out.items()])
 

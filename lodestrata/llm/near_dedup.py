@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, ship
+from .common import SPACE, fresh, materialise, ship
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -237,6 +237,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id."""
-    kept = near_groups(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """``docs`` with one document of each near-duplicate group: the one with the smallest id.
+
+    Rows that share a doc_id stay or go together; rows without an id stay.
+    """
+    gone = near_groups(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(fresh(docs, "gone"))).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[0], "left_anti")

@@ -30,8 +30,6 @@ from .byte_bpe import load
 from .common import materialise, ship
 
 WINDOW = 1024
-#: Of triples, those whose shortest length is a multiple of this are enumerated.
-TRIPLE_STEP = 16
 SWEEPS = 12
 
 _PIECES = "part int, row long, doc_id long, doc_tokens long, n_full int, full_before long, full_crcs array<long>, rest int, rank long, rest_crc long, rest_ids binary"
@@ -67,10 +65,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def combinations(window: int = WINDOW, step: int = TRIPLE_STEP) -> list[tuple[int, ...]]:
-    """Shallow combinations of lengths that fill a window: all pairs, then triples."""
+def combinations(window: int = WINDOW) -> list[tuple[int, ...]]:
+    """Shallow combinations of lengths that fill a window: all pairs, then all triples."""
     pairs = [(window - a, a) for a in range(1, window // 2 + 1)]
-    triples = [(window - a - b, b, a) for a in range(step, window // 3 + 1, step) for b in range(a, (window - a) // 2 + 1)]
+    triples = [(window - a - b, b, a) for a in range(1, window // 3 + 1) for b in range(a, (window - a) // 2 + 1)]
     return pairs + triples
 
 
@@ -115,7 +113,7 @@ def plan(histogram: list[int], window: int = WINDOW) -> list[tuple[int, int, int
         if x[j] < 1:
             break
         take(combos[j], int(x[j]))
-    for c in combos[: window // 2]:  # what rounding left of the pairs
+    for c in combos:  # what rounding left
         take(c, left[c[0]])
     return ranges
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, let
+from .common import NOT_SPACE, SPACE, fresh, let
 
 #: Labelled rows that the list is learned from, at most: those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -68,25 +68,26 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     added = {*BASE, *FEATURES}
     kept = [c for c in docs.columns if c not in added]
-    m = docs.select(*kept, wordless.alias("m_"))
+    m_ = fresh(docs, "m_")
+    m = docs.select(*kept, wordless.alias(m_))
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
-    chars, n = F.col("m_.word_chars"), F.col("m_.w.n_words")
+    chars, n = F.col(f"{m_}.word_chars"), F.col(f"{m_}.w.n_words")
     return m.select(
         *kept,
         n.alias("n_words"),
         chars.alias("word_chars"),
-        F.col("m_.n_symbols").alias("n_symbols"),
-        F.col("m_.l.dup").alias("n_dup_lines"),
-        F.col("m_.w.n_repeat_words").alias("n_repeat_words"),
-        share(F.col("m_.n_symbols"), chars).alias("symbol_share"),
-        share(F.col("m_.w.n_repeat_words"), n).alias("repeat_share"),
-        share(F.col("m_.l.dup"), F.col("m_.l.n")).alias("dup_line_share"),
-        share(F.col("m_.upper"), chars).alias("upper_share"),
-        share(F.col("m_.digits"), chars).alias("digit_share"),
-        share(F.col("m_.marks"), chars).alias("mark_share"),
+        F.col(f"{m_}.n_symbols").alias("n_symbols"),
+        F.col(f"{m_}.l.dup").alias("n_dup_lines"),
+        F.col(f"{m_}.w.n_repeat_words").alias("n_repeat_words"),
+        share(F.col(f"{m_}.n_symbols"), chars).alias("symbol_share"),
+        share(F.col(f"{m_}.w.n_repeat_words"), n).alias("repeat_share"),
+        share(F.col(f"{m_}.l.dup"), F.col(f"{m_}.l.n")).alias("dup_line_share"),
+        share(F.col(f"{m_}.upper"), chars).alias("upper_share"),
+        share(F.col(f"{m_}.digits"), chars).alias("digit_share"),
+        share(F.col(f"{m_}.marks"), chars).alias("mark_share"),
         share(chars, n).alias("mean_word"),
     )
 

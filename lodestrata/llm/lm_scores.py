@@ -29,6 +29,8 @@ MIN_PAIRS = 2
 #: Characters of text in a batch, and behind a partition of the count table, about.
 BATCH_CHARS = 6_000_000
 TABLE_CHARS = 12_000_000
+#: Counts from here on are sent as eight bytes, others as one.
+LARGE = 255
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -81,11 +83,14 @@ def _count(asked: pa.Table) -> pa.Table:
     total = np.zeros(len(known), np.int64)
     np.add.at(total, where, np.concatenate(counts).astype(np.int64))
     answers, at = total[where].astype("<u8"), np.concatenate([[0], np.cumsum(sizes)])
+    parts = [answers[at[i] : at[i + 1]] for i in range(len(batches))]
     return pa.table(
         {
             "batch": pa.array(batches, pa.int32()),
             "tab": pa.array([asked.column("tab")[0].as_py()] * len(batches), pa.int32()),
-            "totals": pa.array([answers[at[i] : at[i + 1]].tobytes() for i in range(len(batches))], pa.binary()),
+            # most counts are small: one byte each, those from LARGE on apart
+            "totals": pa.array([np.minimum(x, LARGE).astype("u1").tobytes() for x in parts], pa.binary()),
+            "large": pa.array([x[x >= LARGE].tobytes() for x in parts], pa.binary()),
         }
     )
 
@@ -95,9 +100,11 @@ def _score(n_tables: int, n_words: int, alpha: float, min_pairs: int):
         sizes, words, pairs, at = _grams(docs)
         keys = np.unique(np.concatenate([words, pairs]))
         order = np.argsort((keys % np.uint64(n_tables)).astype(np.int64), kind="stable")
-        told = sorted(zip(answers.column("tab").to_pylist(), answers.column("totals").to_pylist(), strict=True))
+        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("tab", "totals", "large")), strict=True))
+        in_order = np.frombuffer(b"".join(x for _, x, _ in told), "u1").astype(np.int64)
+        in_order[in_order == LARGE] = np.frombuffer(b"".join(x for _, _, x in told), "<u8").astype(np.int64)
         total = np.empty(len(keys), np.int64)
-        total[order] = np.concatenate([np.frombuffer(x, "<u8") for _, x in told]).astype(np.int64) if told else np.zeros(0, np.int64)
+        total[order] = in_order
         c1 = total[np.searchsorted(keys, words)].astype(float)
         c2 = total[np.searchsorted(keys, pairs)].astype(float)
         s = np.log(c1) - np.log(max(n_words, 1))
@@ -128,6 +135,6 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS)
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition("batch")
     hashed = dealt.select("batch", "doc_id", word_hashes(F.col("text")).alias("words"))
     asked = hashed.groupBy("batch").applyInArrow(_ask(n_tables), "tab int, batch int, keys binary, counts binary")
-    answers = asked.groupBy("tab").applyInArrow(_count, "batch int, tab int, totals binary")
+    answers = asked.groupBy("tab").applyInArrow(_count, "batch int, tab int, totals binary, large binary")
     scored = hashed.groupBy("batch").cogroup(answers.groupBy("batch"))
     return scored.applyInArrow(_score(n_tables, n_words, alpha, min_pairs), "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")

@@ -61,7 +61,7 @@ def failure_runs(log: DataFrame, scope: list[str], order: str, ok: Column, limit
     inside = Window.partitionBy(*scope, "island_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("run", F.sum((~F.col("ok_")).cast("int")).over(inside))
     broken = F.sum((F.col("run") >= limit).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return runs.where(F.coalesce(broken, F.lit(0)) == 0).drop("island_", "ok_")
+    return runs.withColumn("broken_", F.coalesce(broken, F.lit(0))).where("broken_ = 0").drop("island_", "ok_", "broken_")
 
 
 def segments(lines: DataFrame, scope: list[str], order: str, header: Column) -> DataFrame:

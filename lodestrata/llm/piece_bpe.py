@@ -3,8 +3,8 @@
 A segment's characters start as symbols; an agenda ordered by piece score (ties: leftmost) holds the adjacent pairs
 whose concatenation is a piece, and the best pair is merged until none is left. Characters that no piece covers fall
 back to bytes. Segments that cannot share a piece are encoded on their own and cached, up to ``CACHED`` of them.
-Each Arrow batch is checked against the sentencepiece library; where the two differ the library's ids count and
-``agrees`` is false.
+In each Arrow batch the library encodes every segment that was not met before, and a whole text of each chunk; where
+the two differ the library's ids count and ``agrees`` is false. The library decodes every text.
 
 Defined results: a null text is an empty one, whose ids are begin and end alone. Rows are independent, so repeated
 rows and ties need no rule; an empty table gives no rows. Extra columns are not returned.
@@ -13,9 +13,10 @@ rows and ties need no rule; an empty table gives no rows. Extra columns are not
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-CACHED = 300_000
+CACHED = 600_000
 #: Characters that are encoded and checked at a time, so that lists of ids stay small.
 CHUNK_CHARS = 400_000
 MARK = "▁"
@@ -40,59 +41,73 @@ class PieceBpe:
         if any(sp.is_unused(i) for i in usual) or not any(sp.is_byte(i) for i in range(n)):
             raise ValueError("a merge-type vocabulary with byte fallback and no unused pieces is asked for")
         self.id = {sp.id_to_piece(i): i for i in usual}
-        self.score = {p: sp.get_score(i) for p, i in self.id.items()}
+        self.rank = {p: k for k, p in enumerate(sorted(self.id, key=lambda p: (-sp.get_score(self.id[p]), self.id[p])))}
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         joined = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
         breaks = "".join(c for c in _BREAKS if not any(c in p for p in self.id))
         self.segments = re.compile(f"[{breaks}]|{MARK}*[^{MARK}{breaks}]+|{MARK}+" if breaks else f"{MARK}*[^{MARK}]+|{MARK}+") if not joined else re.compile("(?s).+")
+        self.breaks = "" if joined else breaks
         self.cache: dict[str, bytes] = {}
+        self.differ: set[str] = set()
 
     def agenda(self, segment: str) -> list[int]:
-        """Ids of one segment: the best-scored adjacent pair is merged first."""
-        symbols: list[str | None] = list(segment)
+        """Ids of one segment: the best-scored adjacent pair is merged first, the leftmost of equals."""
+        symbols, rank = list(segment), self.rank.get
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right >= 0:
-                pair = symbols[left] + symbols[right]
-                if (s := self.score.get(pair)) is not None:
-                    heapq.heappush(heap, (-s, left, right, pair))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
+        heapify(heap)
         while heap:
-            _, left, right, pair = heapq.heappop(heap)
-            if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != pair:
-                continue
-            symbols[left], symbols[right] = pair, None
-            after[left] = after[right]
-            if after[right] >= 0:
-                before[after[right]] = left
-            offer(before[left], left)
-            offer(left, after[left])
+            r, i = heappop(heap)
+            j = after[i]
+            if j >= n or not symbols[i] or rank(pair := symbols[i] + symbols[j]) != r:
+                continue  # merged meanwhile
+            symbols[i], symbols[j] = pair, ""
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                if (r := rank(pair + symbols[j])) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank(symbols[h] + pair)) is not None:
+                heappush(heap, (r, h))
         out: list[int] = []
         for s in symbols:
-            if s is not None:
+            if s:
                 known = self.id.get(s)
                 out.extend([known] if known is not None else [self.byte[b] for b in s.encode()])
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids without begin and end, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        out, cache = [], self.cache
-        for segment in self.segments.findall(MARK + text.replace(" ", MARK)):
-            ids = cache.get(segment)
-            if ids is None:
-                ids = np.array(self.agenda(segment), "<u4").tobytes()
-                if len(cache) < CACHED:
-                    cache[segment] = ids
-            out.append(ids)
-        return b"".join(out)
+    def learn(self, segments: set[str]) -> list[str]:
+        """Encode segments that are new, check them against the library; returns those to be dropped after use."""
+        new = list(segments.difference(self.cache))
+        own = [self.agenda(s) for s in new]
+        if self.breaks:
+            head = self.library.encode("\n")  # the prefix mark and the line end, which no piece spans
+            theirs = self.library.encode(["\n" + s.replace(MARK, " ") for s in new], num_threads=1)
+            for i, t in enumerate(theirs):
+                if t[len(head) :] != own[i]:
+                    self.differ.add(new[i])
+                    own[i] = t[len(head) :]
+        room = max(0, CACHED - len(self.cache))
+        self.cache.update(zip(new, (struct.pack(f"<{len(x)}I", *x) for x in own), strict=True))
+        return new[room:]
+
+    def encode_many(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text without begin and end, little-endian unsigned 32-bit, and whether own and library agree."""
+        pieces = [self.segments.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        extra = self.learn(set().union(*pieces))
+        of, differ = self.cache.__getitem__, self.differ
+        ids = [b"".join(map(of, p)) for p in pieces]
+        agrees = [not differ or differ.isdisjoint(p) for p in pieces]
+        whole = range(len(texts)) if not self.breaks else range(min(1, len(texts)))
+        for i in whole:  # a whole text of each chunk, to check that segments are apart
+            their = np.array(self.library.encode(texts[i]), "<u4").tobytes()
+            ids[i], agrees[i] = their, agrees[i] and ids[i] == their
+        for s in extra:
+            del self.cache[s]
+        return ids, agrees
 
 
 _loaded: dict[str, PieceBpe] = {}
@@ -125,13 +140,9 @@ def _run(path: str, digest: bool):
         for batch in batches:
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _chunks(texts):
-                theirs = bpe.library.encode(texts[a:b], add_bos=True, add_eos=True, num_threads=1)
-                ids, agrees = [], []
-                for text, their in zip(texts[a:b], theirs, strict=True):
-                    own, known = begin + bpe.encode(text) + end, np.array(their, "<u4").tobytes()
-                    ids.append(known)
-                    agrees.append(own == known)
-                decoded = [bpe.library.decode(t) for t in theirs]
+                ids, agrees = bpe.encode_many(texts[a:b])
+                ids = [begin + x + end for x in ids]
+                decoded = [bpe.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digest:
                     columns = [doc_ids.slice(a, b - a), n, pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]), pa.array(agrees)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """A table in the folder that the cluster's executors share, so that lineage does not grow with each round."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -34,7 +34,7 @@ def root_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 60) -> Data
         up = live.join(edges, F.element_at("path", -1) == F.col("child"), "left")
         up = up.withColumn("next", F.when(F.col("parent").isNotNull() & ~F.coalesce(F.array_contains("path", F.col("parent")), F.lit(False)), F.col("parent")))
         steps = up.groupBy("start", "path").agg(F.collect_set("next").alias("nexts"))
-        steps = _kept(steps)
+        steps = kept(steps)
         ended = steps.where(F.size("nexts") == 0).select("start", "path")
         done = ended if done is None else done.unionByName(ended)
         live = steps.select("start", F.explode("nexts").alias("n"), "path").select("start", F.concat("path", F.array("n")).alias("path"))
@@ -66,7 +66,7 @@ def chase(links: DataFrame) -> DataFrame:
     ends = links.select(F.col("next").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
     at = links.select("node", F.col("next").alias("to"), F.lit(1).alias("steps"), F.least("node", "next").alias("low"))
     at = at.unionByName(ends.select("node", F.col("node").alias("to"), F.lit(0).alias("steps"), F.col("node").alias("low")))
-    at = _kept(at)
+    at = kept(at)
     final = ends.select(F.col("node").alias("to"), F.lit(True).alias("end"))
     most = at.count()
     reach = 1
@@ -75,7 +75,7 @@ def chase(links: DataFrame) -> DataFrame:
         if reach > 2 * most or open_.isEmpty():
             break
         jump = at.select(F.col("node").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("low").alias("low2"))
-        at = _kept(at.join(jump, "to").select("node", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "low2").alias("low")))
+        at = kept(at.join(jump, "to").select("node", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "low2").alias("low")))
         reach *= 2
     out = at.join(final, "to", "left")
     return out.select("node", F.when(F.col("end"), F.col("to")).otherwise(F.col("low")).alias("root"), F.when(F.col("end"), F.col("steps")).alias("steps"))

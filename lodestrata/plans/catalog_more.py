@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import columns as C
-from lodestrata.operators import dedup, enrich, instances, merge
+from lodestrata.operators import dedup, enrich, history, instances, merge
 from lodestrata.plans.catalog import _r, _t, query
 from lodestrata.sources import readers, sinks
 
@@ -221,3 +221,84 @@ def tree_listing(spark, d):
     path = F.concat(F.when(k % 4 == 0, "third_party/").otherwise("base/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.when(k % 3 == 0, ".cc").when(k % 3 == 1, ".c").otherwise(".txt"))
     lines = _t(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("commit_id"), F.concat(F.lit("100644 blob "), F.md5("n_name"), F.lit("\t"), path).alias("value"))
     return readers.tree_listing(lines, [".cc", ".c", ".h"], ["third_party/"])
+
+
+_CHERRY = """
+with c as (select o_custkey as s, o_orderkey as k, md5(o_orderkey::varchar) || '89abcdef' as id, lag(md5(o_orderkey::varchar) || '89abcdef') over (partition by o_custkey order by o_orderkey) as prev from orders where o_custkey % 3 = 0),
+l as (select s, k, id, case when k % 2 = 0 then prev end as src from c)"""
+
+
+def _cherry(spark, d):
+    from pyspark.sql.window import Window
+
+    o = _t(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("pos"), F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("89abcdef")).alias("id"))
+    prev = F.lag("id").over(Window.partitionBy("s").orderBy("pos"))
+    return o.withColumn("prev", prev).select("s", "pos", "id", F.when((F.col("pos") % 2 == 0) & F.col("prev").isNotNull(), F.concat(F.lit("Merge\n(cherry picked from commit "), F.expr("left(prev, 10 + cast(pos % 31 as int))"), F.lit(")"))).otherwise("Fix").alias("message"))
+
+
+@query(
+    _CHERRY
+    + """,
+g as (select s, k, id, sum(case when src is null then 1 else 0 end) over (partition by s order by k rows unbounded preceding) as run from l)
+select s, k as pos, first_value(id) over (partition by s, run order by k) as root from g"""
+)
+def cherry_roots(spark, d):
+    """G-3, J-15, X-5: cherry-picks, cited by prefix, back to where they come from."""
+    return history.cherry_roots(_cherry(spark, d), "s").select("s", "pos", "root")
+
+
+@query("""
+with recursive c as (select p_partkey as k, md5(p_partkey::varchar) || '89abcdef' as hash, case when p_partkey % 5 <> 0 then md5((p_partkey // 2)::varchar) || '89abcdef' end as src from part),
+f(hash, depth) as (select hash, 0 from c where k % 97 = 0 union select c.src, depth + 1 from f join c using (hash) where src in (select hash from c) and depth < 30)
+select hash, min(depth)::int as depth from f group by hash""")
+def expand_sources(spark, d):
+    """G-4: what commits cite, transitively, as far as it exists."""
+    h = lambda c: F.concat(F.md5(c.cast("string")), F.lit("89abcdef"))
+    k = F.col("p_partkey")
+    m = _t(spark, d, "part").select("p_partkey", h(k).alias("hash"), F.when(k % 5 != 0, F.concat(F.lit("(cherry picked from commit "), h(F.floor(k / 2)), F.lit(")"))).otherwise("x").alias("message"))
+    return history.expand_sources(m.where("p_partkey % 97 = 0"), m.select("hash", "message"))
+
+
+@query("""
+with n as (select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos, count(*) over (partition by l_orderkey) as n from lineitem)
+select a.l_orderkey, a.pos, coalesce((select string_agg('f' || b.l_partkey, ',' order by b.pos) from n b where b.l_orderkey = a.l_orderkey and b.pos <> a.pos and b.pos <= case when a.pos <= 3 then 4 else 3 end), '') as siblings, a.n - 1 as n_siblings from n a""")
+def chain_siblings(spark, d):
+    """J-14, X-36: the other functions of a chain, some of them shown."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    f = _t(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("sig"), F.row_number().over(w).cast("long").alias("pos"))
+    return history.siblings(f, ["l_orderkey"], "sig", 3).select("l_orderkey", "pos", F.array_join("siblings", ",").alias("siblings"), "n_siblings")
+
+
+@query("""
+select l_partkey as blob, arg_min('o' || l_orderkey, (l_orderkey, l_linenumber)) as file from lineitem group by l_partkey""")
+def first_file_of_blob(spark, d):
+    """J-20, J-22: the first file that a blob was seen as."""
+    li = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("blob"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), "l_orderkey", "l_linenumber")
+    return history.first_file(li, "blob", "file", [F.col("l_orderkey"), F.col("l_linenumber")])
+
+
+@query("""
+with c as (select o_custkey as cve_id, 'l' || o_orderkey as leaf, 'p' || o_orderkey as root from orders), i as (select c_custkey as cve_id, case when c_custkey % 2 = 0 then (select min('l' || o_orderkey) from orders where o_custkey = c_custkey) else 'unknown' end as commit_id from customer),
+lone as (select cve_id, min(root) as root from c group by cve_id having count(*) = 1)
+select i.cve_id, i.commit_id, coalesce(c.root, lone.root) as root_parent_id from i left join c on c.cve_id = i.cve_id and c.leaf = i.commit_id left join lone on lone.cve_id = i.cve_id where i.commit_id is not null""")
+def root_parents(spark, d):
+    """J-23: the root parent by leaf, else of the only chain."""
+    chains = _t(spark, d, "orders").select(F.col("o_custkey").alias("cve_id"), F.concat(F.lit("l"), F.col("o_orderkey").cast("string")).alias("leaf"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("root_parent_id"))
+    low = chains.groupBy("cve_id").agg(F.min("leaf").alias("low"))
+    i = _t(spark, d, "customer").select(F.col("c_custkey").alias("cve_id")).join(low, "cve_id", "left").select("cve_id", F.when(F.col("cve_id") % 2 == 0, F.col("low")).otherwise("unknown").alias("commit_id")).where("commit_id is not null")
+    return history.root_parent(i, chains)
+
+
+@query("""
+select page_id, case page_id % 5 when 0 then 'DEAD' when 1 then 'https://to/' || page_id when 2 then 'https://final/' || page_id else url end as resolved, case page_id % 5 when 0 then 'no' when 3 then 'unknown' else 'yes' end as known,
+  case page_id % 6 when 0 then 'exists' when 1 then 'failed: timeout' when 2 then 'failed: exit 3' when 3 then 'failed: empty output' when 4 then 'dry_run' else 'processed' end as state from pages""")
+def external_states(spark, d):
+    """SRC-24 to SRC-26: what fetched URLs, existence checks and jobs came to."""
+    k = F.col("page_id")
+    p = _t(spark, d, "pages").select("page_id", "url", F.when(k % 5 == 0, 404).when(k % 5 == 3, 403).otherwise(200).alias("status"), F.when(k % 5 == 2, F.concat(F.lit("https://final/"), k.cast("string"))).otherwise("").alias("final"), F.when(k % 5 == 1, F.concat(F.lit('<script>const url = "https://to/'), k.cast("string"), F.lit('";</script>'))).otherwise("<p>").alias("body"))
+    ok = history.existence(F.col("status"))
+    url = history.resolved_url(F.col("url"), F.when(F.col("status") == 403, 200).otherwise(F.col("status")), F.col("final"), F.col("body"))
+    state = history.job_state(k % 6 == 0, k % 6 == 4, F.when(k % 6 == 2, 3).otherwise(0), F.when(k % 6 == 1, 120.0).otherwise(1.0), 120.0, F.when(k % 6 == 3, 0).otherwise(9))
+    return p.select("page_id", url.alias("resolved"), F.when(ok, "yes").when(~ok, "no").otherwise("unknown").alias("known"), state.alias("state"))

@@ -404,3 +404,96 @@ def idf_bm25(n: Column, df: Column) -> Column:
 
 def idf_smooth(n: Column, df: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
+
+# Records and lists
+
+
+def is_expected(found: Column, expected: Column) -> Column:
+    """An id that is there and is the expected one, whatever its case."""
+    return F.coalesce((F.trim(found) != "") & (F.upper(F.trim(found)) == F.upper(F.trim(expected))), F.lit(False))
+
+
+def record_key(position: Column, *ids: Column) -> Column:
+    """The first filled id, else 'line:<n>'."""
+    return F.coalesce(*[filled(F.trim(c)) for c in ids], F.concat(F.lit("line:"), position.cast("string")))
+
+
+def issue_key(issue_id: Column, link: Column, position: Column) -> Column:
+    """The id, else the last part of the link, else the position."""
+    return F.coalesce(filled(F.trim(issue_id)), filled(F.regexp_extract(link, "([^/]+)/*$", 1)), position.cast("string"))
+
+
+def function_list(json: Column) -> Column:
+    """A JSON array of signatures or of {sig, code} objects as array<struct<sig,code>>; blank signatures go."""
+    items = F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
+
+    def one(x: Column) -> Column:
+        v = F.try_parse_json(x)
+        object_ = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        return F.struct(F.when(object_, F.try_variant_get(v, "$.sig", "string")).otherwise(x).alias("sig"), F.when(object_, F.try_variant_get(v, "$.code", "string")).alias("code"))
+
+    return F.filter(F.transform(items, one), lambda x: F.coalesce(x["sig"], F.lit("")) != "")
+
+
+def document_text(file: Column, body: Column, sig: Column, most: int | None = None) -> Column:
+    """What a function is found by: its file and its body, else its signature."""
+    text = F.coalesce(filled(body), sig)
+    return F.concat_ws(" ", file, F.substring(text, 1, most) if most else text)
+
+
+def content_variant(choice: str, cve: Column, restated_: Column, issue: Column) -> Column:
+    """One of the texts, or both the restated text (else the plain one) and the issue."""
+    if choice == "both":
+        return joined_text(first_filled(restated_, cve), issue, by="\n\n")
+    return F.coalesce({"cve": cve, "restated": restated_, "issue": issue}[choice], F.lit(""))
+
+
+def without_repeats(items: Column) -> Column:
+    """Elements that differ from the one before."""
+    return F.filter(items, lambda x, i: ~x.eqNullSafe(F.get(items, i - 1)) | (i == 0))
+
+
+def without_endings(c: Column, endings: list[str], nothing: str = "--") -> Column:
+    """A scraped value without known endings; the sign for nothing is ''."""
+    out = F.trim(c)
+    for e in endings:
+        out = F.trim(F.regexp_replace(out, r"\Q" + e + r"\E$", ""))
+    return F.when(out == nothing, "").otherwise(out)
+
+
+def template(text: str, **values: Column) -> Column:
+    """A text with {names} filled in by columns, blank where they are null."""
+    import re
+
+    parts = re.split(r"(\{\w+\})", text)
+    return F.concat(*[F.coalesce(values[p[1:-1]].cast("string"), F.lit("")) if p.startswith("{") and p[1:-1] in values else F.lit(p) for p in parts])
+
+
+def for_each(items: Column, line: Callable[[Column, Column], Column], by: str = "\n") -> Column:
+    """A line for each element, with its number from 1."""
+    return F.array_join(F.transform(items, lambda x, i: line(x, i + 1)), by)
+
+
+TEST_SIGNATURE = r"(?:^|[.:\s])(?:TEST|TEST_F|TEST_P|TYPED_TEST|TYPED_TEST_P|IN_PROC_BROWSER_TEST_F|IN_PROC_BROWSER_TEST_P|INSTANTIATE_TEST_SUITE_P|BENCHMARK)(?:$|[:(.])|_Test\b"
+
+
+def is_test_signature(sig: Column) -> Column:
+    return F.coalesce(sig.rlike(TEST_SIGNATURE), F.lit(False))
+
+
+def without_class_macros(code: Column) -> Column:
+    """'class EXPORT_MACRO Foo' -> 'class Foo', and macros between a parameter list and its body."""
+    out = F.regexp_replace(code, r"\b(class|struct)\s+[A-Z][A-Z0-9_]{2,}(?:\([^()]*\))?\s+(?=\w)", "$1 ")
+    return F.regexp_replace(out, r"\)\s+[A-Z][A-Z0-9_]{3,}(?:\([^()]*\))?\s*\{", ") {")
+
+
+def subtree_similarity(name: Column, size_ratio: Column, cover: Column) -> Column:
+    return 0.30 * name + 0.40 * cover + 0.30 * size_ratio
+
+
+def keeps_mapping(name: Column, size_ratio: Column, cover: Column) -> Column:
+    """Whether a pair of subtrees that was matched is alike enough to be kept."""
+    strict = (name >= 0.85) & (cover >= 0.35) & (size_ratio >= 0.30)
+    covered = (cover >= 0.55) & (size_ratio >= 0.30)
+    balanced = (name >= 0.70) & (size_ratio >= 0.50) & (cover >= 0.40)
+    return strict | covered | balanced | (0.45 * name + 0.15 * size_ratio + 0.40 * cover >= 0.60)

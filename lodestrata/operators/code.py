@@ -198,3 +198,29 @@ def function_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select(*columns)
+
+
+def enclosing(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Each point (keys, line) with the smallest span (keys, sig, line_start, line_end) that holds it."""
+    met = points.join(spans, keys).where("line >= line_start and line <= line_end")
+    at = F.struct((F.col("line_end") - F.col("line_start")).alias("size"), F.col("line_start"), F.col("sig"))
+    return met.groupBy(*keys, "line").agg(F.min_by("sig", at).alias("sig"))
+
+
+def greedy_matches(pairs: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Pairs (keys, a, b, score) that are each other's best among those left, in rounds, until none is left.
+
+    Every round takes all mutually best pairs at once, which is what taking the best pair of all, again and again, gives.
+    """
+    from lodestrata.operators.graph import kept
+
+    left, out = kept(pairs.where(F.col("score") >= least)), None
+    while not left.isEmpty():
+        top_a = left.groupBy(*keys, "a").agg(F.max_by("b", F.struct("score", "a", "b")).alias("b"))
+        top_b = left.groupBy(*keys, "b").agg(F.max_by("a", F.struct("score", "a", "b")).alias("a"))
+        best = kept(top_a.join(top_b, [*keys, "a", "b"]).join(left, [*keys, "a", "b"]))
+        out = best if out is None else out.unionByName(best)
+        if best.isEmpty():
+            break
+        left = kept(left.join(best.select(*keys, "a"), [*keys, "a"], "left_anti").join(best.select(*keys, "b"), [*keys, "b"], "left_anti"))
+    return pairs.where("1 = 0") if out is None else out.select(*pairs.columns)

@@ -78,3 +78,27 @@ def test_year_filter(spark):
     assert value(spark, C.year_between(F.col("a"), 2000, 0), a="CVE-2021-1") is True
     assert value(spark, C.year_between(F.col("a"), None, 2020), a="CVE-2021-1") is False
     assert value(spark, C.year_between(F.col("a"), None, None), a="nope") is False
+
+
+def test_records_and_lists(spark):
+    assert value(spark, C.is_expected(F.col("a"), F.col("b")), a=" cve-1 ", b="CVE-1") is True
+    assert value(spark, C.record_key(F.lit(3), F.col("a"), F.col("b")), a=" ", b="") == "line:3"
+    assert value(spark, C.issue_key(F.col("a"), F.col("b"), F.lit(3)), a="", b="https://x/issues/42/") == "42"
+    got = value(spark, C.function_list(F.col("a")), a='["f:int()", {"sig": "g:int()", "code": "x"}, {"sig": ""}, ""]')
+    assert [tuple(x) for x in got] == [("f:int()", None), ("g:int()", "x")]
+    assert value(spark, C.without_repeats(F.col("a")), a=["x", "x", "y", "x"]) == ["x", "y", "x"]
+    assert value(spark, C.without_endings(F.col("a"), ["Edit", "(optional)"]), a="P1 (optional) Edit") == "P1"
+    assert value(spark, C.template("Hi {x}, {y}!", x=F.col("a"), y=F.col("b")), a="A", b=None) == "Hi A, !"
+    assert value(spark, C.for_each(F.col("a"), lambda x, i: F.concat(i.cast("string"), F.lit(". "), x)), a=["p", "q"]) == "1. p\n2. q"
+
+
+def test_test_signatures_and_macros(spark):
+    assert value(spark, C.is_test_signature(F.col("a")), a="ns.FooTest_Works_Test:void()") is True
+    assert value(spark, C.is_test_signature(F.col("a")), a="TEST_F(A,B)") is True
+    assert value(spark, C.is_test_signature(F.col("a")), a="ns.Latest:int()") is False
+    assert value(spark, C.without_class_macros(F.col("a")), a="class NET_EXPORT Foo { void f() LOCKS_EXCLUDED(x) { } };") == "class Foo { void f() { } };"
+
+
+@pytest.mark.parametrize(("name", "ratio", "cover", "out"), [(0.9, 0.3, 0.35, True), (0.1, 0.3, 0.55, True), (0.7, 0.5, 0.4, True), (0.5, 0.5, 0.5, False), (1.0, 0.1, 0.4, True)])
+def test_mapping_rules(spark, name, ratio, cover, out):
+    assert spark.range(1).select(C.keeps_mapping(F.lit(name), F.lit(ratio), F.lit(cover))).first()[0] is out

@@ -229,3 +229,11 @@ def test_instances_and_reasons(spark):
     df = spark.createDataFrame([(1, 1), (None, 1), (1, 0)], "a int, b int")
     got = {r["reason"]: r["n"] for r in instances.reasons(df.withColumn("why", instances.first_failure([("a", F.col("a") == 1), ("b", F.col("b") == 1)])), "why").collect()}
     assert got == {"kept": 1, "a": 1, "b": 1}
+
+
+def test_enclosing_and_greedy(spark):
+    points = spark.createDataFrame([(1, 5), (1, 99)], "file int, line int")
+    spans = spark.createDataFrame([(1, "outer", 1, 20), (1, "inner", 4, 6)], "file int, sig string, line_start int, line_end int")
+    assert [(r["line"], r["sig"]) for r in code.enclosing(points, spans, ["file"]).collect()] == [(5, "inner")]
+    pairs = spark.createDataFrame([(1, "a", "x", 0.9), (1, "a", "y", 0.8), (1, "b", "x", 0.85), (1, "b", "y", 0.5), (1, "c", "z", 0.1)], "file int, a string, b string, score double")
+    assert sorted((r["a"], r["b"]) for r in code.greedy_matches(pairs, ["file"], 0.4).collect()) == [("a", "x"), ("b", "y")]

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 # Element names of the HTML standard; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe noembed noframes svg math canvas".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul button label".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul button label ins".split())
 SECTION = frozenset("article aside footer form header main nav section".split())
 #: Start tag -> open elements that it ends.
 ENDS = {
@@ -55,8 +55,6 @@ class Context:
             for m in _ATTR.finditer(attrs):
                 words = _TOKENS.findall(_CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower())
                 f.update(f"c={w}" for w in words)
-                if tag not in ("html", "body"):
-                    f.update(f"last={w}" for w in words[-1:])
             section = self.section
             if tag in SECTION:
                 f.update((f"in={tag}", f"{section}>{tag}"))

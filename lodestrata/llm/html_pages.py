@@ -22,6 +22,7 @@ NAMES = {
     "share": "share social social-share sharing tools toolbar buttons actions".split(),
     "main": "content main main-content article article-body post post-content entry entry-content story story-body text body page-content prose".split(),
 }
+ROLES = {"header": ["banner"], "menu": ["navigation", "menubar"], "footer": ["contentinfo"], "sidebar": ["complementary"], "notice": ["alert", "dialog", "alertdialog", "status"], "form": ["search", "form"], "main": ["main", "article"]}
 _LETTERS = "aeioubcdfghklmnprstvwz"
 
 
@@ -45,6 +46,8 @@ class Maker:
         r = self.r
         tag = r.choice(tags)
         attr = ""
+        if kind in ROLES and r.random() < 0.12:
+            return f'<{tag} role="{r.choice(ROLES[kind])}">{inner}</{tag}>'
         if r.random() < named or tag == "div":
             name = r.choice(NAMES[kind])
             name = r.choice([name, name, f"{name} {r.choice(self.words)}", f"{r.choice(self.words)}-{name}", f"js-{name}"])
@@ -73,9 +76,11 @@ class Maker:
             return self.wrap("sidebar", inner, ["aside", "aside", "div", "section"], 0.6)
         if kind in ("notice", "ad"):
             inner = r.choice([t(2, 25, REST), f"<p>{t(3, 60, REST)}</p>", f"<h4>{t(1, 4, REST, False)}</h4><p>{t(3, 40, REST)}</p>", f"<a href='/x'>{t(2, 12, REST)}</a>", f"<p>{t(3, 20, REST)}</p><button>{t(1, 2, REST, False)}</button>"])
+            if r.random() < 0.1:
+                return r.choice([f"<noscript>{t(3, 15, REST)}</noscript>", f"<dialog open>{inner}</dialog>", f"<ins class='adsbygoogle'>{t(2, 9, REST)}</ins>"])
             return self.wrap(kind, inner, ["div", "div", "aside", "section", "p"] if "<p" not in inner and "<h4" not in inner else ["div", "div", "aside", "section"])
         if kind == "form":
-            inner = f"<label>{t(1, 5, REST, False)}</label><input name=q>" + r.choice(["", f"<p>{t(4, 30, REST)}</p>"]) + f"<button>{t(1, 2, REST, False)}</button>"
+            inner = f"<label>{t(1, 5, REST, False)}</label><input name=q>" + r.choice(["", "", f"<p>{t(4, 30, REST)}</p>", f"<select><option>{t(1, 2, REST, False)}<option>{t(1, 2, REST, False)}</select>", f"<fieldset><legend>{t(1, 3, REST, False)}</legend><textarea>{t(1, 6, REST, False)}</textarea></fieldset>"]) + f"<button>{t(1, 2, REST, False)}</button>"
             return r.choice([f"<form action='/s'>{inner}</form>", self.wrap("form", f"<form>{inner}</form>", ["div", "section"]), self.wrap("form", f"<p>{t(4, 20, REST)}</p>", ["div", "form"])])
         if kind == "share":
             return self.wrap("share", self.links(2, 5), ["div", "ul", "div"])
@@ -110,7 +115,7 @@ class Maker:
                 parts.append(f"<p>{t(2, 20, MAIN)}<br>{t(2, 30, MAIN)} <a href='/y'>{t(1, 5, MAIN, False)}</a></p>")
             else:
                 parts.append(f"<pre>{t(2, 30, MAIN)}</pre>")
-            if r.random() < 0.1:
+            if r.random() < 0.2:
                 parts.append(self.rest(r.choice(["ad", "ad", "sidebar", "form", "share", "notice"])))
         if r.random() < 0.12:
             parts.append(self.rest(r.choice(["comments", "share", "form", "footer", "menu"])))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import load
-from .common import materialise, ship
+from .common import materialise, ship, small_batches
 
 WINDOW = 1024
 SWEEPS = 12
@@ -154,7 +154,8 @@ def packing(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_first_pass(tokenizer, window), _PIECES)
-    pieces = materialise(pieces, "pieces")
+    with small_batches(spark):
+        pieces = materialise(pieces, "pieces")
 
     parts = pieces.groupBy("part").agg(F.sum("n_full").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, materialise, ship
+from .common import SPACE, fresh, materialise, ship, small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
 SKETCHES = 14
 PER_SKETCH = 3
-#: Members of a bucket that meet in one comparison block, about.
-BLOCK = 128
+#: K-mers of a bucket's members in one comparison block, about.
+BLOCK_KMERS = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -149,7 +149,7 @@ def _verify(k: int, threshold: float):
 
 
 def _block(k: int, threshold: float):
-    """Links between the unresolved members of one block and the members of another, of different groups."""
+    """Links between groups: unresolved members of one block against the members of another, one link for two groups."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         left, right = g[g["is_left"]].drop_duplicates("cls"), g[~g["is_left"]].drop_duplicates("cls")
@@ -158,18 +158,26 @@ def _block(k: int, threshold: float):
             band = int(g["band"].iloc[0])
             rk = [kmers(np.asarray(w, np.int64), k) for w in right["words"]]
             sizes = np.array([len(x) for x in rk])
-            flat, begin = np.concatenate(rk), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            groups, ids, keys = right["grp"].to_numpy(), right["cls"].to_numpy(), np.stack(right["keys"].to_list())
-            for cls, grp, own, words in zip(left["cls"], left["grp"], left["keys"], left["words"], strict=True):
+            flat, owner = np.concatenate(rk), np.repeat(np.arange(len(rk)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            groups, keys = right["grp"].to_numpy(), np.stack(right["keys"].to_list())
+            for grp, own, words in zip(left["grp"], left["keys"], left["words"], strict=True):
                 a = kmers(np.asarray(words, np.int64), k)
                 near = (np.minimum(sizes, len(a)) >= threshold * np.maximum(sizes, len(a))) & (groups != grp)
                 near &= ~(keys[:, :band] == np.asarray(own)[None, :band]).any(axis=1)  # an earlier bucket has that pair
                 if near.any():
-                    s = np.sort(a)
-                    common = np.add.reduceat(s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat, begin)
+                    low = np.searchsorted(flat, a, "left")
+                    n = np.searchsorted(flat, a, "right") - low
+                    hits = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    common = np.bincount(owner[hits], minlength=len(rk))
                     near &= common >= threshold * (sizes + len(a)) / (1 + threshold) - 1e-9
-                    out.extend((int(cls), int(ids[j])) for j in np.flatnonzero(near) if aligned(a, rk[j], threshold) > 0)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    joined: set[int] = set()
+                    for j in np.flatnonzero(near):
+                        if groups[j] not in joined and aligned(a, rk[j], threshold) > 0:
+                            joined.add(groups[j])
+                    out.extend((int(grp), int(x)) for x in joined)
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -195,7 +203,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     hashed = own.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), word_hashes(F.col("text")).alias("words"))
-    rows = materialise(hashed.mapInArrow(_sketches(words, sketches), "doc_id long, h1 long, h2 long, n int, keys array<long>"), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = materialise(hashed.mapInArrow(_sketches(words, sketches), "doc_id long, h1 long, h2 long, n int, keys array<long>"), "sketches")
     classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("cls"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     classes = materialise(classes, "classes")
     usable = classes.where("cls is not null")
@@ -212,27 +221,33 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     texts = materialise(texts, "texts")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.select("a", "b", word_hashes(F.col("text_a")).alias("x"), word_hashes(F.col("text_b")).alias("y"))
-    links = materialise(both.mapInArrow(_verify(words, threshold), "a long, b long"), "links")
+    with small_batches(docs.sparkSession):
+        links = materialise(both.mapInArrow(_verify(words, threshold), "a long, b long"), "links")
 
     groups = components(links)
     grouped = buckets.where("m > 2").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     heads = groups.select(F.col("node").alias("head"), F.col("grp").alias("head_grp"))
     grouped = grouped.join(heads, "head", "left").withColumn("head_grp", F.coalesce("head_grp", "head"))
     grouped = materialise(grouped.withColumn("out", F.col("grp") != F.col("head_grp")), "grouped")
-    open_ = grouped.groupBy("band", "key").agg(F.sum(F.col("out").cast("long")).alias("u")).where("u > 0")
+    open_ = grouped.groupBy("band", "key").agg(F.sum(F.when(F.col("out"), F.col("n"))).alias("u"), F.sum("n").alias("all")).where("u > 0")
     if not open_.isEmpty():
-        open_ = open_.select("band", "key", F.ceil(F.col("u") / BLOCK).alias("left_blocks"))
+        open_ = open_.select("band", "key", F.ceil(F.col("u") / BLOCK_KMERS).alias("left_blocks"), F.ceil(F.col("all") / BLOCK_KMERS).alias("blocks"))
         again = grouped.where("cls <> head").join(open_, ["band", "key"])
-        again = again.join(usable.select("cls", "keys"), "cls").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+        again = again.join(usable.select("cls", "keys"), "cls")
         mine = lambda n: F.pmod(F.xxhash64("cls", "band"), F.col(n)).cast("int")
         cols = ["band", "key", "cls", "grp", "keys"]
         left = again.where("out").select(*cols, F.lit(True).alias("is_left"), mine("left_blocks").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("rb"))
         right = again.select(*cols, F.lit(False).alias("is_left"), mine("blocks").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("left_blocks").cast("int") - 1)).alias("lb"))
         met = left.unionByName(right).join(texts, "cls").withColumn("words", word_hashes(F.col("text"))).drop("text")
         found = met.groupBy("band", "key", "lb", "rb").applyInPandas(_block(words, threshold), "a long, b long")
-        groups = components(materialise(links.union(found), "links"))
+        merged = components(found).select(F.col("node").alias("grp"), F.col("grp").alias("whole"))
+    else:
+        merged = None
 
-    by_text = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("h1", "h2", F.col("cls").alias("text_class"), F.coalesce("grp", "cls").alias("class_id"))
+    by_text = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    if merged is not None:
+        by_text = by_text.join(merged, "grp", "left").withColumn("grp", F.coalesce("whole", "grp"))
+    by_text = by_text.select("h1", "h2", F.col("cls").alias("text_class"), F.col("grp").alias("class_id"))
     return rows.select("doc_id", "h1", "h2").join(by_text, ["h1", "h2"]).select("doc_id", "text_class", "class_id")
 
 

@@ -98,7 +98,7 @@ def test_near_groups_chain_and_large_bucket(spark, monkeypatch):
         for _ in range(r.randint(0, 7)):
             w[r.randrange(120)] = f"e{r.random()}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_KMERS", 2000)
     got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_groups(frame(spark, rows)).collect()}
     assert got == brute.near_groups(rows)
 

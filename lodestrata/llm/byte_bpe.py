@@ -16,7 +16,7 @@ _NUMBERS = "0-9²³¹¼½¾"
 PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
 #: Any other character than these: a text with one takes the library's whole path.
 UNSURE = re.compile(r"[^\x09-\x0d\x20-\x7e¡-ɏ‐-‧]")
-CACHED = 300_000
+CACHED = 500_000
 #: Characters whose pre-tokens are encoded at a time.
 CHUNK_CHARS = 500_000
 

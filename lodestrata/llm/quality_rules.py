@@ -11,6 +11,7 @@ base rules alone decide. Extra columns are kept unless they are named as one of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -52,44 +53,46 @@ def _repeated(words: Column) -> Column:
     return let(words, of_words)
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base measures (long) and the shares that rules test (double), in one pass."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def _raw(t: Column) -> Column:
     words = F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE))
-    wordless = F.struct(
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"))).alias("w"),
-        F.length(F.regexp_replace(t, f"{SPACE}+", "")).cast("long").alias("word_chars"),
-        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+    return F.struct(
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).cast("long").alias("repeated"))).alias("w"),
+        F.length(F.regexp_replace(t, f"{SPACE}+", "")).cast("long").alias("chars"),
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
         F.regexp_count(t, F.lit("[A-Z]")).alias("upper"),
         F.regexp_count(t, F.lit("[0-9]")).alias("digits"),
         F.regexp_count(t, F.lit("[!?|]")).alias("marks"),
     )
-    added = {*BASE, *FEATURES}
-    kept = [c for c in docs.columns if c not in added]
-    m_ = fresh(docs, "m_")
-    m = docs.select(*kept, wordless.alias(m_))
+
+
+def measured(text: Column) -> Column:
+    """A struct of the base measures (long) and the shares that rules test (double)."""
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
-    chars, n = F.col(f"{m_}.word_chars"), F.col(f"{m_}.w.n_words")
-    return m.select(
-        *kept,
-        n.alias("n_words"),
-        chars.alias("word_chars"),
-        F.col(f"{m_}.n_symbols").alias("n_symbols"),
-        F.col(f"{m_}.l.dup").alias("n_dup_lines"),
-        F.col(f"{m_}.w.n_repeat_words").alias("n_repeat_words"),
-        share(F.col(f"{m_}.n_symbols"), chars).alias("symbol_share"),
-        share(F.col(f"{m_}.w.n_repeat_words"), n).alias("repeat_share"),
-        share(F.col(f"{m_}.l.dup"), F.col(f"{m_}.l.n")).alias("dup_line_share"),
-        share(F.col(f"{m_}.upper"), chars).alias("upper_share"),
-        share(F.col(f"{m_}.digits"), chars).alias("digit_share"),
-        share(F.col(f"{m_}.marks"), chars).alias("mark_share"),
-        share(chars, n).alias("mean_word"),
-    )
+    def named(r: Column) -> Column:
+        values = [
+            *(r["w"]["n"], r["chars"], r["symbols"], r["l"]["dup"], r["w"]["repeated"]),
+            *(share(r["symbols"], r["chars"]), share(r["w"]["repeated"], r["w"]["n"]), share(r["l"]["dup"], r["l"]["n"])),
+            *(share(r["upper"], r["chars"]), share(r["digits"], r["chars"]), share(r["marks"], r["chars"]), share(r["chars"], r["w"]["n"])),
+        ]
+        return F.struct(*[v.alias(name) for v, name in zip(values, BASE + FEATURES, strict=True)])
+
+    return let(_raw(F.coalesce(text, F.lit(""))), named)
+
+
+def _spread(docs: DataFrame, struct: Column, names: list[str]) -> DataFrame:
+    kept = [c for c in docs.columns if c not in names]
+    m = fresh(docs, "m")
+    return docs.select(*kept, struct.alias(m)).select(*kept, *[F.col(f"{m}.{n}").alias(n) for n in names])
+
+
+def measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with all measures of a text, in one pass."""
+    return _spread(docs, measured(F.col(text)), BASE + FEATURES)
 
 
 @dataclass(frozen=True)
@@ -100,10 +103,10 @@ class Rule:
     good: int = 0
     bad: int = 0
 
-    def column(self) -> Column:
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
         out = F.lit(True)
         for name, above, at in self.conditions:
-            out = out & (F.col(name) > at if above else F.col(name) <= at)
+            out = out & (of(name) > at if above else of(name) <= at)
         return out
 
 
@@ -111,16 +114,16 @@ class Rule:
 class DecisionList:
     rules: list[Rule] = field(default_factory=list)
 
-    def verdict(self) -> Column:
+    def verdict(self, of: Callable[[str], Column] = F.col) -> Column:
         """The number of the first rule met, from 1; 0 where none is."""
         out = None
         for i, r in enumerate(self.rules, 1):
-            out = F.when(r.column(), F.lit(i)) if out is None else out.when(r.column(), F.lit(i))
+            out = F.when(r.column(of), F.lit(i)) if out is None else out.when(r.column(of), F.lit(i))
         return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def _base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def _base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words"))
 
 
 def statistics(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[tuple], dict[str, list[float]]]:
@@ -131,8 +134,9 @@ def statistics(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(some), "doc_id")
-    m = measures(texts).where(~_base_failed()).withColumn("grow", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(3)) > 0)
-    m = m.select("quality", "grow", *FEATURES).persist()
+    # kept before it is filtered: a filter on measures would be moved below the join and judge every document
+    kept = measures(texts).select("doc_id", "quality", "n_words", "n_repeat_words", *FEATURES).persist()
+    m = kept.where(~_base_failed()).withColumn("grow", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(3)) > 0)
     try:
         q = m.groupBy((F.col("quality") > 0).alias("good")).agg(*[F.percentile_approx(c, QUANTILES, 10_000).alias(c) for c in FEATURES]).collect()
         grid = {c: sorted({round(float(v), 4) for r in q for v in (r[c] or [])}) for c in FEATURES}
@@ -141,7 +145,7 @@ def statistics(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
         counted = m.select(*cells, "quality", "grow").groupBy(*FEATURES).agg(n(True, True), n(False, True), n(True, False), n(False, False))
         return sorted(tuple(r) for r in counted.collect()), grid
     finally:
-        m.unpersist()
+        kept.unpersist()
 
 
 def learn(cells: list[tuple], grid: dict[str, list[float]], max_rules: int = 12, max_conditions: int = 3, precision: float = 0.97, support: int = 5) -> DecisionList:
@@ -217,10 +221,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Dec
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with measures, base_failed, rule (number of the first rule met, else 0) and kept."""
-    m = measures(docs)
-    m = m.withColumn("base_failed", _base_failed()).withColumn("rule", rules.verdict())
-    return m.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    """``docs`` with measures, base_failed, rule (number of the first rule met, else 0) and kept.
+
+    The verdict is inside one expression, so that a filter on it measures each text once.
+    """
+
+    def verdict(m: Column) -> Column:
+        of = lambda name: m[name]
+        failed, rule = _base_failed(of), rules.verdict(of)
+        return F.struct(*[m[c].alias(c) for c in BASE + FEATURES], failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept"))
+
+    return _spread(docs, let(measured(F.col("text")), verdict), [*BASE, *FEATURES, "base_failed", "rule", "kept"])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

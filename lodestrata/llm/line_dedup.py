@@ -69,7 +69,7 @@ def drop_runs(positions: Column) -> Column:
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, row (xxhash64 of the text), drops array<struct<start,length>> for each document that loses lines."""
-    lines = lines_of(docs, min_chars)
+    lines = materialise(lines_of(docs, min_chars), "line_hashes")  # sampled for ranges, counted and joined: texts are split once
     keys = materialise(repeated_keys(lines, min_docs), "line_keys")
     lost = lines.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "row").agg(drop_runs(F.sort_array(F.collect_set("pos"))).alias("drops"))

@@ -39,6 +39,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps of seven bytes, behind a byte that tells so; as they are where a step is too large."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    if len(keys) and int(steps.max()) < 1 << 56:
+        return b"\x07" + steps.astype("<u8").view("u1").reshape(-1, 8)[:, :7].tobytes()
+    return b"\x08" + keys.astype("<u8").tobytes()
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    if packed[0] == 8:
+        return np.frombuffer(packed, "<u8", offset=1)
+    steps = np.frombuffer(packed, "u1", offset=1).reshape(-1, 7)
+    whole = np.zeros((len(steps), 8), "u1")
+    whole[:, :7] = steps
+    return np.cumsum(whole.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Most counts are small: one byte each, those from LARGE on apart."""
+    return np.minimum(counts, LARGE).astype("u1").tobytes(), counts[counts >= LARGE].astype("<u8").tobytes()
+
+
+def _unpack_counts(small: bytes, large: bytes) -> np.ndarray:
+    counts = np.frombuffer(small, "u1").astype(np.int64)
+    counts[counts == LARGE] = np.frombuffer(large, "<u8").astype(np.int64)
+    return counts
+
+
 def _grams(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch: words per document, hash of each word, hash of each pair, and where pairs end among the words."""
     lists = docs.column("words").combine_chunks()
@@ -61,12 +89,14 @@ def _ask(n_tables: int):
         ends = np.searchsorted(table[order], np.arange(n_tables + 1))
         used = np.flatnonzero(np.diff(ends))
         batch = docs.column("batch")[0].as_py()
+        packed = [_pack_counts(counts[order[ends[t] : ends[t + 1]]]) for t in used]
         return pa.table(
             {
                 "tab": pa.array(used, pa.int32()),
                 "batch": pa.array([batch] * len(used), pa.int32()),
-                "keys": pa.array([keys[order[ends[t] : ends[t + 1]]].tobytes() for t in used], pa.binary()),
-                "counts": pa.array([counts[order[ends[t] : ends[t + 1]]].astype("<u4").tobytes() for t in used], pa.binary()),
+                "keys": pa.array([_pack_keys(keys[order[ends[t] : ends[t + 1]]]) for t in used], pa.binary()),
+                "counts": pa.array([c for c, _ in packed], pa.binary()),
+                "large": pa.array([x for _, x in packed], pa.binary()),
             }
         )
 
@@ -76,21 +106,19 @@ def _ask(n_tables: int):
 def _count(asked: pa.Table) -> pa.Table:
     """The count table's partition: sums each n-gram over batches and answers each batch in its own order."""
     batches = asked.column("batch").to_pylist()
-    keys = [np.frombuffer(x, "<u8") for x in asked.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in asked.column("counts").to_pylist()]
-    sizes = np.array([len(k) for k in keys])
+    keys = [_unpack_keys(x) for x in asked.column("keys").to_pylist()]
+    counts = [_unpack_counts(*x) for x in zip(asked.column("counts").to_pylist(), asked.column("large").to_pylist(), strict=True)]
     known, where = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(known), np.int64)
-    np.add.at(total, where, np.concatenate(counts).astype(np.int64))
-    answers, at = total[where].astype("<u8"), np.concatenate([[0], np.cumsum(sizes)])
-    parts = [answers[at[i] : at[i + 1]] for i in range(len(batches))]
+    np.add.at(total, where, np.concatenate(counts))
+    answers, at = total[where], np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    parts = [_pack_counts(answers[at[i] : at[i + 1]]) for i in range(len(batches))]
     return pa.table(
         {
             "batch": pa.array(batches, pa.int32()),
             "tab": pa.array([asked.column("tab")[0].as_py()] * len(batches), pa.int32()),
-            # most counts are small: one byte each, those from LARGE on apart
-            "totals": pa.array([np.minimum(x, LARGE).astype("u1").tobytes() for x in parts], pa.binary()),
-            "large": pa.array([x[x >= LARGE].tobytes() for x in parts], pa.binary()),
+            "totals": pa.array([c for c, _ in parts], pa.binary()),
+            "large": pa.array([x for _, x in parts], pa.binary()),
         }
     )
 
@@ -101,10 +129,8 @@ def _score(n_tables: int, n_words: int, alpha: float, min_pairs: int):
         keys = np.unique(np.concatenate([words, pairs]))
         order = np.argsort((keys % np.uint64(n_tables)).astype(np.int64), kind="stable")
         told = sorted(zip(*(answers.column(c).to_pylist() for c in ("tab", "totals", "large")), strict=True))
-        in_order = np.frombuffer(b"".join(x for _, x, _ in told), "u1").astype(np.int64)
-        in_order[in_order == LARGE] = np.frombuffer(b"".join(x for _, _, x in told), "<u8").astype(np.int64)
         total = np.empty(len(keys), np.int64)
-        total[order] = in_order
+        total[order] = _unpack_counts(b"".join(x for _, x, _ in told), b"".join(x for _, _, x in told))
         c1 = total[np.searchsorted(keys, words)].astype(float)
         c2 = total[np.searchsorted(keys, pairs)].astype(float)
         s = np.log(c1) - np.log(max(n_words, 1))
@@ -134,7 +160,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS)
     n_batches, n_tables = max(least, chars // BATCH_CHARS + 1), max(least, chars // TABLE_CHARS + 1)
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition("batch")
     hashed = dealt.select("batch", "doc_id", word_hashes(F.col("text")).alias("words"))
-    asked = hashed.groupBy("batch").applyInArrow(_ask(n_tables), "tab int, batch int, keys binary, counts binary")
+    asked = hashed.groupBy("batch").applyInArrow(_ask(n_tables), "tab int, batch int, keys binary, counts binary, large binary")
     answers = asked.groupBy("tab").applyInArrow(_count, "batch int, tab int, totals binary, large binary")
     scored = hashed.groupBy("batch").cogroup(answers.groupBy("batch"))
     return scored.applyInArrow(_score(n_tables, n_words, alpha, min_pairs), "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")

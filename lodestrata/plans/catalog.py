@@ -460,9 +460,9 @@ s as (select query, vec_id as doc, label, round(list_dot_product(list_transform(
 t as (select *, row_number() over (partition by query order by score desc, doc) as rank from s where doc <> query qualify rank <= 10)"""
 
 
-def _dense(spark, d):
+def _dense(spark, d, some="doc < 10"):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
-    return retrieval.neighbours(v, v.where("doc < 10"), 10)
+    return retrieval.neighbours(v, v.where(some), 10)
 
 
 @query(_DENSE + " select query, doc, score, rank::int as rank from t where score > 0")
@@ -480,9 +480,13 @@ select query, doc, nth::int as nth from g where nth <= 4 and label <> qlabel"""
 )
 def hard_negatives(spark, d):
     """I-9, J-21, J-31: near vectors of another label within a budget."""
+    return _negatives(spark, d, _dense(spark, d))
+
+
+def _negatives(spark, d, near):
     labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "label")
     none = spark.createDataFrame([], "query long, doc long")
-    return retrieval.hard_negatives(_dense(spark, d), labels, none, 4).select("query", "doc", "nth")
+    return retrieval.hard_negatives(near, labels, none, 4).select("query", "doc", "nth")
 
 
 @query(
@@ -497,14 +501,51 @@ from c group by query"""
 )
 def rank_metrics(spark, d):
     """M-1, M-3, X-22, W-2, W-3: metrics of a ranking against the vectors of the same label."""
+    return _metrics(spark, d, _dense(spark, d), "vec_id < 10")
+
+
+def _metrics(spark, d, near, some):
     e = _t(spark, d, "embeddings").select("vec_id", "label")
-    ranked = _dense(spark, d).groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("ranked"))
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query"), "label")
+    ranked = near.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("ranked"))
+    q = e.where(some).select(F.col("vec_id").alias("query"), "label")
     known = q.join(e, "label").where("vec_id <> query").groupBy("query").agg(F.collect_set("vec_id").alias("known"))
     m = ranked.join(known, "query").select("query", *metrics.set_metrics(F.col("ranked"), F.col("known")))
     return m.select("query", "hit_1", "hit_10", "precision_5", *[_r(F.col(c)).alias(c) for c in ("recall_10", "iou_10", "mrr", "map")])
 
 
+# The three queries above search for vec_id < 10, as their SQL does. These search for the whole query set, which grows with
+# the table.
+
+
+def _whole(name, *changes):
+    sql = ORACLE_SQL[name]
+    for old, new in changes:
+        assert old in sql, (name, old)
+        sql = sql.replace(old, new)
+    return sql
+
+
+_HUNDREDTH = ("vec_id < 10", "vec_id % 100 = 0")
+
+
+@query(_whole("dense_topk", _HUNDREDTH))
+def dense_topk_whole(spark, d):
+    """I-8, I-11, X-24, T-6, T-12: nearest vectors of every hundredth vector, without themselves."""
+    return _dense(spark, d, "doc % 100 = 0").where("score > 0").select("query", "doc", "score", "rank")
+
+
+@query(_whole("hard_negatives", _HUNDREDTH))
+def hard_negatives_whole(spark, d):
+    """I-9, J-21, J-31: near vectors of another label within a budget, for every hundredth vector."""
+    return _negatives(spark, d, _dense(spark, d, "doc % 100 = 0"))
+
+
+@query(_whole("rank_metrics", _HUNDREDTH))
+def rank_metrics_whole(spark, d):
+    """M-1, M-3, X-22, W-2, W-3: metrics of every hundredth vector's ranking."""
+    return _metrics(spark, d, _dense(spark, d, "doc % 100 = 0"), "vec_id % 100 = 0")
+
+
 @query("""
 with r as (select o_orderkey, o_totalprice as a, count(*)::double as b from orders join lineitem on l_orderkey = o_orderkey group by all),
 k as (select a, b, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from r)

@@ -31,3 +31,17 @@ def test_blocks_of_queries_give_the_same_scores(spark):
     one, many = (retrieval.dense_scores(q, v, [], block) for block in (1000, 7))
     assert sorted(one.collect()) == sorted(many.collect()) and many.count() == 3600
     assert many._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 9
+
+
+@tables
+def test_singletons_are_counted_over_all_owners(spark):
+    f = spark.read.parquet(f"{D}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity").collect()
+    rows = {(r[0], f"ns::f{r[1] % 6}", "root" if r[2] > 30 else "other") for r in f}
+    owners = {}
+    for k, name, label in rows:
+        owners.setdefault((name, label), set()).add(k)
+    marked = [(k, name, label if len(owners[name, label]) > 1 else "other") for k, name, label in rows]
+    alive = {k for k, _, label in marked if label != "other"}
+    got = [tuple(r) for r in run(spark, "singleton_relabel_whole").select("k", "name", "label").collect()]
+    assert sorted(got) == sorted(m for m in marked if m[0] in alive)
+    assert any(k % 40 for k, _, _ in got)

@@ -45,3 +45,9 @@ def test_singletons_are_counted_over_all_owners(spark):
     got = [tuple(r) for r in run(spark, "singleton_relabel_whole").select("k", "name", "label").collect()]
     assert sorted(got) == sorted(m for m in marked if m[0] in alive)
     assert any(k % 40 for k, _, _ in got)
+
+
+@tables
+def test_functions_of_every_part_are_compared(spark):
+    odd = {r[0] for r in spark.read.parquet(f"{D}/part.parquet").where("p_partkey % 2 = 1").select("p_partkey").collect()}
+    assert {r["file"] for r in run(spark, "code_functions").collect()} == odd and max(odd) > 50

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 # Element names of the HTML standard; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe noembed noframes svg math canvas".split())
+RAW = frozenset("script style template iframe noembed noframes".split())
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul button label ins".split())
 SECTION = frozenset("article aside footer form header main nav section".split())
 #: Start tag -> open elements that it ends.
@@ -98,6 +99,14 @@ def blocks(page: str) -> list[Block]:
             close()
         nearest.pop()
 
+    def end_head() -> None:
+        """Content ends a head that is still open; within a title it does not."""
+        tags = [c.tag for c in stack]
+        if "head" in tags and "title" not in tags:
+            while "head" in tags:
+                pop()
+                tags.pop()
+
     for m in _TOKEN.finditer(page):
         tag = m["tag"]
         if skip:
@@ -107,6 +116,8 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             text = m["text"]
             if text is not None:
+                if stack[-1].tag == "head" and not text.isspace():
+                    end_head()
                 if now is None:
                     if text.isspace():
                         continue
@@ -117,6 +128,8 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if not m["end"]:
+            if tag not in HEAD:
+                end_head()
             if tag in RAW:
                 if not m["attrs"].endswith("/"):
                     skip = tag

@@ -59,7 +59,8 @@ class Model:
 
 
 def _is_head(b: Block) -> bool:
-    return "t=head" in b.context.features or "t=title" in b.context.features
+    f = b.context.features
+    return "t=head" in f or ("t=title" in f and "t=svg" not in f)
 
 
 def readable(page: str) -> list[Block]:

@@ -277,6 +277,20 @@ def test_html_extract(spark):
     assert got[0]["n_chars"] == len(got[0]["text"])
 
 
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_html_head_without_end_tag(body):
+    article = "<article><h1>A</h1><p>First line of words, and more words of the text.<p>Second one is here, too, with words.</article>"
+    whole, model = f"<html><head><title>T</title></head>{body}{article}", html_extract.default_model()
+    assert html_extract.extract(whole, model) != ""
+    assert html_extract.extract(whole.replace("</head>", ""), model) == html_extract.extract(whole, model)
+    assert [b.text for b in html_extract.readable("<head><title>a <b> c</title>plain words<p>more")] == ["plain words", "more"]
+
+
+def test_html_keeps_text_of_math_svg_and_canvas():
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><title>Plot</title><text>axis</text></svg> <canvas>no picture</canvas></article>"
+    assert " ".join(b.text for b in html_extract.readable(page)) == "so x=2 holds Plot axis no picture"
+
+
 CHAT = "conv_id long, turn long, kind string, role string, text string, call_id string, name string, arguments string, after array<string>, place string"
 
 

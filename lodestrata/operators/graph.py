@@ -23,14 +23,14 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def root_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 60) -> DataFrame:
+def root_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """All upward paths from each start (node) over edges (child, parent): path array, ends where no unvisited parent is.
 
     One join a level; a path that would come back to a node of its own ends there, so cycles do no harm.
     """
     live = starts.select(F.col("node").alias("start"), F.array(F.col("node")).alias("path"))
     done = None
-    for _ in range(max_depth):
+    while True:
         up = live.join(edges, F.element_at("path", -1) == F.col("child"), "left")
         up = up.withColumn("next", F.when(F.col("parent").isNotNull() & ~F.coalesce(F.array_contains("path", F.col("parent")), F.lit(False)), F.col("parent")))
         steps = up.groupBy("start", "path").agg(F.collect_set("next").alias("nexts"))
@@ -39,8 +39,7 @@ def root_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 60) -> Data
         done = ended if done is None else done.unionByName(ended)
         live = steps.select("start", F.explode("nexts").alias("n"), "path").select("start", F.concat("path", F.array("n")).alias("path"))
         if live.isEmpty():
-            break
-    return done
+            return done
 
 
 def representatives(paths: DataFrame, roots: DataFrame, members: DataFrame, top: str = "1000", categories: str = "699") -> DataFrame:

@@ -28,23 +28,25 @@ def cherry_roots(commits: DataFrame, scope: str) -> DataFrame:
     return met.select(*commits.columns, F.coalesce(root, "id").alias("root"))
 
 
-def expand_sources(seeds: DataFrame, messages: DataFrame, rounds: int = 50) -> DataFrame:
+def expand_sources(seeds: DataFrame, messages: DataFrame) -> DataFrame:
     """All hashes that seeds' messages cite, those that their messages cite, and so on, as far as they exist.
 
     seeds (hash), messages (hash, message); returns hash and depth, each once, the seeds at depth 0.
     """
     cites = messages.select("hash", F.explode(F.array_distinct(cherry_sources(F.col("message")))).alias("source"))
     exists = messages.select(F.col("hash").alias("source")).distinct()
-    cites = cites.join(exists, "source", "left_semi")
+    cites = kept(cites.join(exists, "source", "left_semi"))
     found = seeds.select("hash").distinct().withColumn("depth", F.lit(0))
-    new = found
-    for depth in range(1, rounds + 1):
+    new, depth = found, 0
+    while True:
+        depth += 1
         new = new.join(cites, "hash").select(F.col("source").alias("hash")).distinct().join(found, "hash", "left_anti").withColumn("depth", F.lit(depth))
         new = kept(new)
         if new.isEmpty():
-            break
+            return found
         found = found.unionByName(new)
-    return found
+        if depth % 8 == 0:  # the plan does not grow with the rounds
+            found = kept(found)
 
 
 def touches(changes: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import columns as C
 from lodestrata.operators import dedup, enrich, history, instances, merge
-from lodestrata.plans.catalog import _r, _t, query
+from lodestrata.plans.catalog import _r, _t, _whole, query
 from lodestrata.sources import readers, sinks
 
 
@@ -15,11 +15,21 @@ with c as (select c_custkey, md5(c_name) as id from customer), l as (select c_cu
 select link, c_custkey, id from l join c on left(id, least(length(hash), 12)) = left(lower(hash), least(length(hash), 12))""")
 def prefix_join(spark, d):
     """J-12, J-15: hashes that begin commit ids; an equi-join on the shortest prefix finds them."""
+    return _prefixes(spark, d, "c_custkey % 10 = 0")
+
+
+def _prefixes(spark, d, some):
     c = _t(spark, d, "customer").select("c_custkey", F.md5("c_name").alias("id"))
-    links = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("link"), F.upper(F.expr("left(id, 7 + cast(c_custkey % 9 as int))")).alias("hash"))
+    links = c.where(some).select(F.col("c_custkey").alias("link"), F.upper(F.expr("left(id, 7 + cast(c_custkey % 9 as int))")).alias("hash"))
     return merge.hash_prefix_join(links, c).select("link", "c_custkey", "id")
 
 
+@query(_whole("prefix_join", (" where c_custkey % 10 = 0", "")))
+def prefix_join_whole(spark, d):
+    """J-12, J-15: the links of all customers; ``prefix_join`` has one in ten, as its SQL does."""
+    return _prefixes(spark, d, "true")
+
+
 @query("""
 select p_partkey % 50 as dir, 'p' || p_partkey || '.cc' as file, p_brand as content, p_type as parent_content from part where p_partkey % 3 <> 0 and p_partkey % 4 <> 0""")
 def version_pairs(spark, d):
@@ -245,10 +255,10 @@ with c as (select o_custkey as s, o_orderkey as k, md5(o_orderkey::varchar) || '
 l as (select s, k, id, case when k % 2 = 0 then prev end as src from c)"""
 
 
-def _cherry(spark, d):
+def _cherry(spark, d, some="o_custkey % 3 = 0"):
     from pyspark.sql.window import Window
 
-    o = _t(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("pos"), F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("89abcdef")).alias("id"))
+    o = _t(spark, d, "orders").where(some).select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("pos"), F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("89abcdef")).alias("id"))
     prev = F.lag("id").over(Window.partitionBy("s").orderBy("pos"))
     return o.withColumn("prev", prev).select("s", "pos", "id", F.when((F.col("pos") % 2 == 0) & F.col("prev").isNotNull(), F.concat(F.lit("Merge\n(cherry picked from commit "), F.expr("left(prev, 10 + cast(pos % 31 as int))"), F.lit(")"))).otherwise("Fix").alias("message"))
 
@@ -264,6 +274,12 @@ def cherry_roots(spark, d):
     return history.cherry_roots(_cherry(spark, d), "s").select("s", "pos", "root")
 
 
+@query(_whole("cherry_roots", (" where o_custkey % 3 = 0", "")))
+def cherry_roots_whole(spark, d):
+    """G-3, J-15, X-5: the chains of all orders; ``cherry_roots`` has those of one customer in three, as its SQL does."""
+    return history.cherry_roots(_cherry(spark, d, "true"), "s").select("s", "pos", "root")
+
+
 @query("""
 with recursive c as (select p_partkey as k, md5(p_partkey::varchar) || '89abcdef' as hash, case when p_partkey % 5 <> 0 then md5((p_partkey // 2)::varchar) || '89abcdef' end as src from part),
 f(hash, depth) as (select hash, 0 from c where k % 97 = 0 union select c.src, depth + 1 from f join c using (hash) where src in (select hash from c) and depth < 30)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodestrata.operators import retrieval
+from lodestrata.operators import graph, history, retrieval
 
 D = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
@@ -51,3 +51,19 @@ def test_singletons_are_counted_over_all_owners(spark):
 def test_functions_of_every_part_are_compared(spark):
     odd = {r[0] for r in spark.read.parquet(f"{D}/part.parquet").where("p_partkey % 2 = 1").select("p_partkey").collect()}
     assert {r["file"] for r in run(spark, "code_functions").collect()} == odd and max(odd) > 50
+
+
+@tables
+def test_all_orders_and_customers_take_part(spark):
+    assert run(spark, "cherry_roots_whole").count() == spark.read.parquet(f"{D}/orders.parquet").count()
+    links = {r["link"] for r in run(spark, "prefix_join_whole").collect()}
+    assert links == {r[0] for r in spark.read.parquet(f"{D}/customer.parquet").select("c_custkey").collect()}
+
+
+def test_long_chains_and_paths_have_no_last_round(spark):
+    h = [f"{i:040x}" for i in range(54)]
+    m = spark.createDataFrame([(x, f"(cherry picked from commit {y})") for x, y in zip(h, h[1:])] + [(h[-1], "x")], "hash string, message string").coalesce(1)
+    got = {r["hash"]: r["depth"] for r in history.expand_sources(m.where(F.col("hash") == h[0]), m).collect()}
+    assert got == {x: i for i, x in enumerate(h)}
+    e = spark.createDataFrame([(i, i + 1) for i in range(63)], "child int, parent int").coalesce(1)
+    assert [r["path"] for r in graph.root_paths(spark.createDataFrame([(0,)], "node int"), e).collect()] == [list(range(64))]

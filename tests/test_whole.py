@@ -67,3 +67,9 @@ def test_long_chains_and_paths_have_no_last_round(spark):
     assert got == {x: i for i, x in enumerate(h)}
     e = spark.createDataFrame([(i, i + 1) for i in range(63)], "child int, parent int").coalesce(1)
     assert [r["path"] for r in graph.root_paths(spark.createDataFrame([(0,)], "node int"), e).collect()] == [list(range(64))]
+
+
+@tables
+def test_votes_over_five_thousand_terms(spark):
+    few, many = (sorted(map(tuple, run(spark, n).collect())) for n in ("tfidf_knn_vote", "tfidf_knn_vote_whole"))
+    assert few != many

@@ -69,6 +69,18 @@ def test_long_chains_and_paths_have_no_last_round(spark):
     assert [r["path"] for r in graph.root_paths(spark.createDataFrame([(0,)], "node int"), e).collect()] == [list(range(64))]
 
 
+def test_a_tree_for_each_label(spark):
+    train = spark.createDataFrame([(i, ["left", "word"] if i % 3 == 0 else ["right", "word"] if i % 3 == 1 else ["up", "word"], "abc"[i % 3]) for i in range(30)], "doc long, tokens array<string>, label string")
+    test = spark.createDataFrame([(100, ["left", "right"]), (101, ["the"])], "doc long, tokens array<string>")
+    got = {}
+    for r in retrieval.tree_ranking(train, test).collect():
+        got.setdefault(r["doc"], {})[r["label"]] = r["predicted"]
+    assert got[100] == {"a": True, "b": True, "c": False}
+    deep = spark.createDataFrame([(i, [f"t{i:02d}", "same"], "xy"[i % 2]) for i in range(24)], "doc long, tokens array<string>, label string")
+    best = {r["doc"]: r["label"] for r in retrieval.tree_ranking(deep, deep.drop("label")).where("rank = 1").collect()}
+    assert best == {i: "xy"[i % 2] for i in range(24)}
+
+
 @tables
 def test_votes_over_five_thousand_terms(spark):
     few, many = (sorted(map(tuple, run(spark, n).collect())) for n in ("tfidf_knn_vote", "tfidf_knn_vote_whole"))

@@ -3,15 +3,19 @@
 A document's ids are followed by id 0. Whole windows are sequences of their own. What is left of a document, under
 one window, is a piece; the histogram of piece lengths (window - 1 bins) goes to the driver, combinations of two and
 three lengths that fill a window exactly are enumerated, their repeat counts are solved by non-negative least squares
-and rounded down, and pieces are dealt to them by rank within their length. Pieces beyond the rounded counts are laid
-end to end and cut at window ends; the last window, not full, is cut at powers of two, which need no padding.
+and rounded down, and pieces are dealt to them by rank within their length; a piece finds its range by binary search.
+Pieces beyond the rounded counts are laid end to end and cut at window ends; the last window, not full, is cut at powers
+of two, which need no padding. The solver takes ``SWEEPS`` sweeps at most: on the tables at sf0.1, 200 sweeps change
+the planned share (91 % of the pieces, 99 % for a hundred times as many) by less than a point.
 
 Ranks and offsets are kept per input partition while ids are made, and meet as one row for each partition and length,
 so no length, however common, gathers in one task. The first pass is written to the shared folder once; ranks thus
 stay the same when a task is repeated.
 
 Defined results: a null or empty text is the one id 0. Every row of ``docs`` is packed, repeated rows each on their
-own; a null doc_id stays null. An empty table gives no rows. Extra columns are not returned.
+own; rows that share a doc_id and rows with a null doc_id keep it and are packed apart. A very long text is many whole
+windows of one row; its ids are made at once, so a task holds one batch's ids. Ties (pieces of one length) are ranked
+by input partition and row. An empty table gives no rows. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,16 +44,19 @@ def _first_pass(path: str, window: int):
         bpe, part = load(path), TaskContext.get().partitionId()
         row = full = 0
         ranks = [0] * window
+        narrow = f"<u{bpe.id_bytes}"
         for batch in batches:
             out: list[tuple] = []
-            encoded = bpe.encode_many([t or "" for t in batch.column(1).to_pylist()])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += b"\0\0\0\0"
-                n = len(ids) // 4
+            ids, counts = bpe.encode(batch.column(1))
+            closed = np.zeros(len(ids) + len(counts), "<u4")  # each document's ids, then id 0
+            closed[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+            raw, thin = memoryview(closed.tobytes()), memoryview(closed.astype(narrow).tobytes())
+            at = 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), (counts + 1).tolist(), strict=True):
                 whole, rest = divmod(n, window)
-                crcs = [zlib.crc32(ids[4 * window * j : 4 * window * (j + 1)]) for j in range(whole)]
-                tail = ids[4 * window * whole :]
-                out.append((part, row, doc_id, n, whole, full, crcs, rest, ranks[rest], zlib.crc32(tail), np.frombuffer(tail, "<u4").astype("<u2").tobytes()))
+                crcs = [zlib.crc32(raw[4 * (at + window * j) : 4 * (at + window * (j + 1))]) for j in range(whole)]
+                tail, at = at + window * whole, at + n
+                out.append((part, row, doc_id, n, whole, full, crcs, rest, ranks[rest], zlib.crc32(raw[4 * tail : 4 * at]), bytes(thin[bpe.id_bytes * tail : bpe.id_bytes * at])))
                 row, full = row + 1, full + whole
                 ranks[rest] += 1
             yield _batch(out, _SCHEMA)
@@ -118,7 +125,39 @@ def plan(histogram: list[int], window: int = WINDOW) -> list[tuple[int, int, int
     return ranges
 
 
-def _cut(window: int, whole: int, tail: list[int], first: int):
+class Ranges:
+    """Ranges of a plan, sorted, so that a piece finds its own by binary search over its length and rank."""
+
+    def __init__(self, ranges: list[tuple[int, int, int, int, int]]):
+        table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
+        self.length, self.low, self.high, self.sequence, self.offset = table.T
+        self.keys = self._key(self.length, self.low)
+
+    @staticmethod
+    def _key(length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return (length.astype(np.int64) << 44) | rank
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, self._key(length, rank), "right") - 1
+
+
+def _deal(ranges: Broadcast, first: int):
+    """Planned pieces (doc_id, doc_tokens, rest, rank, rest_crc) with the sequence and offset that their range gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = ranges.value
+        for batch in batches:
+            doc_tokens, rest, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            at = r.find(rest, rank)
+            start, length = pa.array(doc_tokens - rest, pa.int64()), pa.array(rest, pa.int64())
+            sequence = pa.array(first + r.sequence[at] + rank - r.low[at], pa.int64())
+            columns = [batch.column(0), start, length, batch.column(4), batch.column(1), sequence, pa.array(r.offset[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
+
+    return run
+
+
+def _cut(window: int, whole: int, tail: list[int], first: int, id_bytes: int):
     """Cuts pieces that lie end to end from ``pos`` at window ends and, beyond ``whole`` ids, at the ends in ``tail``."""
     import bisect
 
@@ -127,8 +166,8 @@ def _cut(window: int, whole: int, tail: list[int], first: int):
         for batch in batches:
             out = []
             for doc_id, start, doc_tokens, packed, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(packed, "<u2").astype("<u4").tobytes()
-                at, n = 0, len(packed) // 2
+                ids = np.frombuffer(packed, f"<u{id_bytes}").astype("<u4").tobytes()
+                at, n = 0, len(ids) // 4
                 while at < n:
                     p = pos + at
                     if p < whole:
@@ -172,24 +211,22 @@ def packing(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
         histogram[r["rest"]] = r["n"]
     ranges = plan(histogram, window)
     n_planned = max((r[3] + r[2] - r[1] for r in ranges), default=0)
-    by_length: dict[int, list[tuple]] = {}
-    for length, lo, hi, seq, offset in ranges:
-        by_length.setdefault(length, []).append((lo, hi, seq, offset))
-    dealt = {v: sum(r[1] - r[0] for r in rs) for v, rs in by_length.items()}
-    table = spark.createDataFrame([(v, lo, hi, seq, off) for v, rs in by_length.items() for lo, hi, seq, off in rs], "rest int, lo long, hi long, seq long, off long")
+    dealt = [0] * window
+    for length, lo, hi, _, _ in ranges:
+        dealt[length] += hi - lo
 
     earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
     ranked = rest.join(offsets, ["part", "rest"]).withColumn("rank", F.col("rank") + F.col("skip"))
-    limit = spark.createDataFrame([(v, dealt.get(v, 0)) for v in range(1, window)], "rest int, dealt long")
-    ranked = ranked.join(F.broadcast(limit), "rest")  # window - 1 rows
+    limit = F.array(*map(F.lit, dealt))[F.col("rest")]  # window entries
     start = (F.col("doc_tokens") - F.col("rest")).alias("start")
-    # at most three ranges for each enumerated combination; ranges of one length do not overlap
-    planned = ranked.where("rank < dealt").select("doc_id", "doc_tokens", "rest", "rank", "rest_crc").join(F.broadcast(table), "rest").where("rank >= lo and rank < hi")
-    planned = planned.select("doc_id", start, F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", (F.lit(n_full) + F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), F.col("off").alias("offset"))
+    columns = ", ".join(f"{c} long" for c in OUT_COLUMNS)
+    # at most three ranges for each enumerated combination, whatever the corpus' size
+    planned = ranked.where(F.col("rank") < limit).select("doc_id", "doc_tokens", F.col("rest").cast("long"), "rank", "rest_crc")
+    planned = planned.mapInArrow(_deal(spark.sparkContext.broadcast(Ranges(ranges)), n_full), columns)
 
-    over = ranked.where("rank >= dealt").select("part", "row", "doc_id", start, "doc_tokens", F.col("rest").cast("long").alias("rest"), "rest_ids")
-    sizes = ranked.where("rank >= dealt").groupBy("part").agg(F.sum("rest").alias("n"))
+    over = ranked.where(F.col("rank") >= limit).select("part", "row", "doc_id", start, "doc_tokens", F.col("rest").cast("long").alias("rest"), "rest_ids")
+    sizes = ranked.where(F.col("rank") >= limit).groupBy("part").agg(F.sum("rest").alias("n"))
     sizes = materialise(sizes, "residuals")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -198,5 +235,5 @@ def packing(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     laid = laid.select("doc_id", "start", "doc_tokens", "rest_ids", (F.col("pos") + F.col("base")).alias("pos"))
     short = total % window
     tail = [1 << b for b in range(window.bit_length() - 1, -1, -1) if short >> b & 1]
-    cut = laid.mapInArrow(_cut(window, total - short, tail, n_full + n_planned), ", ".join(f"{c} long" for c in OUT_COLUMNS))
+    cut = laid.mapInArrow(_cut(window, total - short, tail, n_full + n_planned, load(tokenizer).id_bytes), columns)
     return full.unionByName(planned).unionByName(cut)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import REPLY_SCHEMA, format_chats, from_turns
-from .common import read
+from .common import materialise, read
 from .fingerprints import fingerprints
 from .html_extract import html_extract
 from .line_dedup import line_dedup
@@ -18,7 +18,7 @@ from .near_dedup import near_groups
 from .packing import packing
 from .piece_bpe import encode_digests
 from .quality_rules import quality_rules
-from .token_counts import count_edits, standard_edits
+from .token_counts import edited_counts
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_edits(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), standard_edits(F.col("text")))
+    keep = lambda trees: materialise(trees, "token_trees")
+    return edited_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,22 @@
 
 A k-mer is five words (runs without space and \\x09-\\x0D) together with how often it came before in the text. Each of
 ``SKETCHES`` hash functions takes the ``PER_SKETCH`` smallest k-mers of a text and keeps them in text order; texts that
-share a sketch are candidates. Candidates are verified by banded alignment: common k-mers no further off the diagonal
-than the threshold allows are chained in order, and the similarity is chained / (all k-mers of both - chained), which
-is the Jaccard similarity of labelled k-mers where order is kept. Links are pairs of 0.8 or more.
+share a sketch are candidates. Candidates are verified by banded alignment of their words: the edit distance is computed
+inside the band that the threshold leaves around the diagonal, and the similarity is 1 - distance / words of the longer
+text. Links are pairs of 0.8 or more. A pair whose common k-mers, chained in order inside the band, have a Jaccard
+similarity of 0.8 or more is a link as well, though scattered insertions may cost its edit similarity a little.
 
 Equal texts are one class and take part once. Within a bucket every member is first verified against the smallest id;
 groups are formed, and only members that stayed outside the smallest id's group are then compared with the bucket's
-members of other groups, in blocks of bounded size that return links alone. So no candidate pair between different
-groups goes unverified, and no group of copies is ever expanded into all pairs.
+members of other groups, in cells of alike length and blocks of bounded size that return links alone. So no candidate
+pair between different groups goes unverified, and no group of copies is ever expanded into all pairs. Heads with many
+members are sliced where texts and labels are joined to them.
 
 Defined results: a null text is an empty one; texts without words form one group. A text of fewer than five words has
-one k-mer, all its words. A row with a null doc_id takes the class of its text, which is null if no row with that
-text has an id. Rows that share a doc_id are one document. An empty table gives no rows. Extra columns do not matter.
+one k-mer, all its words, and meets only texts of the same words. A row with a null doc_id takes the class of its text,
+which is null if no row with that text has an id. Rows that share a doc_id are one document: its texts are one group, and
+its smallest text is the one that is compared. Ties in a hash are k-mers of equal hash and thus of equal words. Very long texts are
+compared whole. An empty table gives no rows. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ from .common import SPACE, fresh, materialise, ship, small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
-SKETCHES = 14
+SKETCHES = 20
 PER_SKETCH = 3
-#: K-mers of a bucket's members in one comparison block, about.
-BLOCK_KMERS = 200_000
+#: Words of a cell's members in one comparison block, about.
+BLOCK_WORDS = 200_000
+#: Pairs of one head, and edges of one node, that are joined in one slice, about.
+SLICE_PAIRS = 500
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -110,6 +116,50 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float
     return s if s >= threshold - 1e-12 else 0.0
 
 
+def within(a: list[int], b: list[int], most: int) -> bool:
+    """Whether the edit distance of two sequences is at most ``most``: bit-parallel columns inside a band of the diagonal."""
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if n - m > most:
+        return False
+    if most >= n:
+        return True
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    width = 2 * most + 2
+    full, diagonal, row = (1 << width) - 1, 1 << (width - 1), 1 << (width - 2)
+    up, down = full ^ ((1 << (width - most - 1)) - 1), 0  # vertical steps of +1 and -1 in the band
+    distance, at, limit = most, most + 1 - width, 2 * most + m - n
+    for j, x in enumerate(b):
+        hit = places.get(x, 0)
+        hit = (hit >> at if at >= 0 else hit << -at) & full
+        zero = (((hit & up) + up) ^ up) & full | hit | down
+        right, left = down | (full & ~(zero | up)), zero & up
+        if j < n - most:  # along the band's lower edge, then along the last row
+            distance += not zero & diagonal
+            if distance > limit:
+                return False
+        else:
+            distance += bool(right & row) - bool(left & row)
+            row >>= 1
+        zero >>= 1
+        up, down, at = left | (full & ~(zero | right)), zero & right, at + 1
+    return distance <= most
+
+
+def linked(a: np.ndarray, b: np.ndarray, k: int = WORDS, threshold: float = THRESHOLD) -> bool:
+    """Whether two texts (word hashes) are near copies."""
+    most = max(len(a), len(b))
+    if not most or np.array_equal(a, b):
+        return True
+    # both similarities need so many words in common
+    if min(len(a), len(b)) < threshold * most - 1e-9 or len(np.intersect1d(kmers(a, 1), kmers(b, 1), assume_unique=True)) < threshold * most - 1e-9:
+        return False
+    return within(a.tolist(), b.tolist(), int((1 - threshold) * most + 1e-9)) or aligned(kmers(a, k), kmers(b, k), threshold) > 0
+
+
 def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), f"{SPACE}+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -130,7 +180,7 @@ def _sketches(k: int, sketches: int):
             for words in _lists(batch.column(3)):
                 labelled = kmers(words, k)
                 keys.append(sketch(labelled, sketches))
-                sizes.append(len(labelled))
+                sizes.append(len(words))
             flat = pa.array(np.concatenate(keys).view(np.int64))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, sketches), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), keys], ["doc_id", "h1", "h2", "n", "keys"])
@@ -141,8 +191,7 @@ def _sketches(k: int, sketches: int):
 def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [aligned(kmers(x, k), kmers(y, k), threshold) > 0 for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
-            ok = pa.array(ok, pa.bool_())
+            ok = pa.array([linked(x, y, k, threshold) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return run
@@ -156,25 +205,27 @@ def _block(k: int, threshold: float):
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
             band = int(g["band"].iloc[0])
-            rk = [kmers(np.asarray(w, np.int64), k) for w in right["words"]]
-            sizes = np.array([len(x) for x in rk])
-            flat, owner = np.concatenate(rk), np.repeat(np.arange(len(rk)), sizes)
+            texts = [np.asarray(w, np.int64) for w in right["words"]]
+            rw = [kmers(w, 1) if len(w) else np.zeros(0, np.uint64) for w in texts]
+            sizes = np.array([len(x) for x in rw])
+            flat, owner = np.concatenate(rw), np.repeat(np.arange(len(rw)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             groups, keys = right["grp"].to_numpy(), np.stack(right["keys"].to_list())
             for grp, own, words in zip(left["grp"], left["keys"], left["words"], strict=True):
-                a = kmers(np.asarray(words, np.int64), k)
-                near = (np.minimum(sizes, len(a)) >= threshold * np.maximum(sizes, len(a))) & (groups != grp)
+                words = np.asarray(words, np.int64)
+                longer = np.maximum(sizes, len(words))
+                near = (np.minimum(sizes, len(words)) >= threshold * longer - 1e-9) & (groups != grp)
                 near &= ~(keys[:, :band] == np.asarray(own)[None, :band]).any(axis=1)  # an earlier bucket has that pair
                 if near.any():
+                    a = kmers(words, 1)
                     low = np.searchsorted(flat, a, "left")
                     n = np.searchsorted(flat, a, "right") - low
                     hits = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    common = np.bincount(owner[hits], minlength=len(rk))
-                    near &= common >= threshold * (sizes + len(a)) / (1 + threshold) - 1e-9
+                    near &= np.bincount(owner[hits], minlength=len(rw)) >= threshold * longer - 1e-9
                     joined: set[int] = set()
                     for j in np.flatnonzero(near):
-                        if groups[j] not in joined and aligned(a, rk[j], threshold) > 0:
+                        if groups[j] not in joined and linked(words, texts[j], k, threshold):
                             joined.add(groups[j])
                     out.extend((int(grp), int(x)) for x in joined)
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
@@ -182,16 +233,38 @@ def _block(k: int, threshold: float):
     return run
 
 
+def _slices(rows: DataFrame, key: str) -> DataFrame:
+    """key, slices: keys with more than SLICE_PAIRS rows, and how many slices they take."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > SLICE_PAIRS)
+    return n.select(key, F.ceil(F.col("n") / SLICE_PAIRS).cast("int").alias("slices"))
+
+
+def _copies(rows: DataFrame, key: str, slices: DataFrame) -> DataFrame:
+    """``rows``, those of sliced keys once for each slice."""
+    return rows.join(slices, key, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+
+
+def _sliced(rows: DataFrame, key: str, by: str, slices: DataFrame) -> DataFrame:
+    """``rows`` with the slice that each belongs to."""
+    return rows.join(slices, key, "left").withColumn("slice", F.pmod(F.xxhash64(by), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, grp (smallest node of its connected component) for each node of ``links`` (a, b)."""
-    edges = materialise(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    edges = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
+    edges = materialise(edges, "edges")
+    slices = materialise(_slices(edges, "b"), "slices")  # the other ends of nodes with many edges are found in slices
+    edges = materialise(_sliced(edges, "b", "a", slices), "sliced_edges")
     label = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("grp")), "labels")
     while True:
-        of_next = edges.join(label.select(F.col("node").alias("b"), "grp"), "b").groupBy("a").agg(F.min("grp").alias("low"))
+        ends = _copies(label.select(F.col("node").alias("b"), "grp"), "b", slices)
+        of_next = edges.join(ends, ["b", "slice"]).groupBy("a").agg(F.min("grp").alias("low"))
         hooked = label.join(of_next.withColumnRenamed("a", "node"), "node").select("node", F.col("grp").alias("old"), F.least("grp", "low").alias("grp"))
-        jump = label.select(F.col("node").alias("grp"), F.col("grp").alias("root"))
-        moved = hooked.join(jump, "grp").select("node", "old", F.least("grp", "root").alias("grp"))
-        moved = materialise(moved, "labels")
+        roots = hooked.groupBy("grp").agg(F.count("*").alias("n"))  # a group's root is looked up once, not by each member
+        roots = roots.join(label.select(F.col("node").alias("grp"), F.col("grp").alias("root")), "grp").where("root < grp").select("grp", "root", "n")
+        many = roots.where(F.col("n") > SLICE_PAIRS).select("grp", F.ceil(F.col("n") / SLICE_PAIRS).cast("int").alias("slices"))
+        moved = _sliced(hooked, "grp", "node", many).join(_copies(roots.drop("n"), "grp", many), ["grp", "slice"], "left")
+        moved = materialise(moved.select("node", "old", F.coalesce("root", "grp").alias("grp")), "labels")
         label = moved.select("node", "grp")
         if moved.where("old <> grp").isEmpty():
             return label
@@ -217,29 +290,41 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     pairs = materialise(star.select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
 
     involved = buckets.select("cls").distinct()
-    texts = own.join(involved, own["doc_id"] == involved["cls"]).select("cls", "text").dropDuplicates(["cls"])
+    texts = own.join(involved, own["doc_id"] == involved["cls"]).groupBy("cls").agg(F.min("text").alias("text"))
     texts = materialise(texts, "texts")
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+    heads = materialise(_slices(pairs, "b"), "heads")
+    head_texts = _copies(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).join(pairs.select("b").distinct(), "b", "left_semi"), "b", heads)
+    both = _sliced(pairs, "b", "a", heads).join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(head_texts, ["b", "slice"])
     both = both.select("a", "b", word_hashes(F.col("text_a")).alias("x"), word_hashes(F.col("text_b")).alias("y"))
     with small_batches(docs.sparkSession):
         links = materialise(both.mapInArrow(_verify(words, threshold), "a long, b long"), "links")
 
     groups = components(links)
     grouped = buckets.where("m > 2").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
-    heads = groups.select(F.col("node").alias("head"), F.col("grp").alias("head_grp"))
-    grouped = grouped.join(heads, "head", "left").withColumn("head_grp", F.coalesce("head_grp", "head"))
+    head_groups = groups.select(F.col("node").alias("head"), F.col("grp").alias("head_grp"))
+    grouped = grouped.join(head_groups, "head", "left").withColumn("head_grp", F.coalesce("head_grp", "head"))
     grouped = materialise(grouped.withColumn("out", F.col("grp") != F.col("head_grp")), "grouped")
-    open_ = grouped.groupBy("band", "key").agg(F.sum(F.when(F.col("out"), F.col("n"))).alias("u"), F.sum("n").alias("all")).where("u > 0")
-    if not open_.isEmpty():
-        open_ = open_.select("band", "key", F.ceil(F.col("u") / BLOCK_KMERS).alias("left_blocks"), F.ceil(F.col("all") / BLOCK_KMERS).alias("blocks"))
-        again = grouped.where("cls <> head").join(open_, ["band", "key"])
-        again = again.join(usable.select("cls", "keys"), "cls")
+    # lengths further apart than the threshold never link: members meet in cells of alike length
+    cell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / (threshold - 0.01)))).cast("int")
+    grouped = grouped.select("band", "key", "cls", "grp", "out", "n", cell.alias("own_cell"))
+    open_ = grouped.where("out").select("band", "key").distinct()
+    again = grouped.join(open_, ["band", "key"])  # the head as well: its cell may hold members of other groups
+    right = again.withColumn("cell", F.col("own_cell"))
+    left = again.where("out").withColumn("cell", F.explode(F.array(F.col("own_cell") - 1, F.col("own_cell"), F.col("own_cell") + 1)))
+    both_sides = materialise(left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False))).drop("own_cell"), "cells")
+    size = lambda c: F.sum(F.when(c, F.greatest("n", F.lit(1))))
+    cells = both_sides.groupBy("band", "key", "cell").agg(size(F.col("is_left")).alias("u"), size(~F.col("is_left")).alias("all"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
+    cells = cells.where("u > 0 and `all` > 0 and g0 < g1").select("band", "key", "cell", F.ceil(F.col("u") / BLOCK_WORDS).cast("int").alias("left_blocks"), F.ceil(F.col("all") / BLOCK_WORDS).cast("int").alias("blocks"))
+    cells = materialise(cells, "open_cells")
+    if not cells.isEmpty():
+        met = both_sides.join(cells, ["band", "key", "cell"])
         mine = lambda n: F.pmod(F.xxhash64("cls", "band"), F.col(n)).cast("int")
-        cols = ["band", "key", "cls", "grp", "keys"]
-        left = again.where("out").select(*cols, F.lit(True).alias("is_left"), mine("left_blocks").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("rb"))
-        right = again.select(*cols, F.lit(False).alias("is_left"), mine("blocks").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("left_blocks").cast("int") - 1)).alias("lb"))
-        met = left.unionByName(right).join(texts, "cls").withColumn("words", word_hashes(F.col("text"))).drop("text")
-        found = met.groupBy("band", "key", "lb", "rb").applyInPandas(_block(words, threshold), "a long, b long")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        met = met.withColumn("lb", F.explode(F.when(F.col("is_left"), F.array(mine("left_blocks"))).otherwise(every("left_blocks"))))
+        met = met.withColumn("rb", F.explode(F.when(F.col("is_left"), every("blocks")).otherwise(F.array(mine("blocks")))))
+        met = met.select("band", "key", "cell", "lb", "rb", "cls", "grp", "is_left").join(usable.select("cls", "keys"), "cls").join(texts, "cls")
+        met = met.withColumn("words", word_hashes(F.col("text"))).drop("text")
+        found = met.groupBy("band", "key", "cell", "lb", "rb").applyInPandas(_block(words, threshold), "a long, b long")
         merged = components(found).select(F.col("node").alias("grp"), F.col("grp").alias("whole"))
     else:
         merged = None

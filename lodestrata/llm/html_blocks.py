@@ -26,14 +26,18 @@ ENDS = {
 #: An implied end does not look beyond these.
 FENCE = frozenset("ul ol dl table div section article aside nav main header footer form body blockquote td th".split())
 
+#: A quote is one only behind an equals sign; a tag ends at the first > outside quotes that are closed.
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)"
+    r"(?P<comment><!--)"
     r"|<[!?][^>]*(?:>|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?|[\"'])*+)>"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
+#: What ends a comment; one that nothing ends is over at its next >, so that no text behind it is lost.
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _TOKENS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -84,7 +88,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[Context] = [ROOT]
     nearest: list[Context] = [ROOT]  # the nearest block of each open element
     now: Block | None = None
-    skip = ""
+    unclosed: set[str] = set()  # raw elements (and comments) that no later end closes
 
     def close() -> None:
         nonlocal now
@@ -107,12 +111,22 @@ def blocks(page: str) -> list[Block]:
                 pop()
                 tags.pop()
 
-    for m in _TOKEN.finditer(page):
-        tag = m["tag"]
-        if skip:
-            if tag and m["end"] and tag.lower() == skip:
-                skip = ""
+    def behind(end: re.Pattern, name: str, at: int) -> int | None:
+        """Where what stands at ``at`` is over; None if nothing ends it, which is looked for once a name."""
+        found = None if name in unclosed else end.search(page, at)
+        if found is None:
+            unclosed.add(name)
+            return None
+        return found.end()
+
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        if m["comment"]:
+            over = behind(_COMMENT_END, "!", at)
+            at = over or page.find(">", at) + 1 or at
             continue
+        tag = m["tag"]
         if tag is None:
             text = m["text"]
             if text is not None:
@@ -131,8 +145,9 @@ def blocks(page: str) -> list[Block]:
             if tag not in HEAD:
                 end_head()
             if tag in RAW:
+                # its content is no markup: all up to its own end tag goes, or the tag alone if there is none
                 if not m["attrs"].endswith("/"):
-                    skip = tag
+                    at = behind(_RAW_END[tag], tag, at) or at
                 continue
             if tag == "br":
                 if now is not None:
@@ -140,12 +155,12 @@ def blocks(page: str) -> list[Block]:
                 continue
             ends = ENDS.get(tag)
             if ends:
-                at = len(stack) - 1
+                i = len(stack) - 1
                 last = None
-                while at > 0 and (stack[at].tag in ends or stack[at].tag not in FENCE):
-                    if stack[at].tag in ends:
-                        last = at
-                    at -= 1
+                while i > 0 and (stack[i].tag in ends or stack[i].tag not in FENCE):
+                    if stack[i].tag in ends:
+                        last = i
+                    i -= 1
                 if last is not None:
                     while len(stack) > last:
                         pop()
@@ -159,12 +174,12 @@ def blocks(page: str) -> list[Block]:
         else:
             if tag in BLOCK:
                 close()
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag == tag:
-                    while len(stack) > at:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    while len(stack) > i:
                         pop()
                     break
-                if tag not in BLOCK and stack[at].tag in BLOCK:
+                if tag not in BLOCK and stack[i].tag in BLOCK:
                     break  # an inline end tag does not end a block
     close()
     return out

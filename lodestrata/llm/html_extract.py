@@ -5,8 +5,11 @@ pages by maximum likelihood (forward-backward gradients, Adam, L2) and blocks ar
 is the blocks labelled main, in page order, joined by one space.
 
 Defined results: a null or empty page, or one without main blocks, has the empty text. Elements that never hold text
-for readers (script, style and the like), comments and the head are left out before labelling. Rows are independent,
-repeated ones alike; an empty table gives no rows. Extra columns are not returned.
+for readers (script, style and the like), comments and the head are left out before labelling; what stands in a script is
+no markup, one that is never closed loses its tag alone, and a comment that is never closed ends at its next >. Rows are
+independent, repeated ones alike, and keep null ids. Equal scores of two labellings (ties) take the rest's label. A very
+long page is decoded whole, in time and memory linear in its blocks; batches are small. An empty table gives no rows.
+Extra columns are not returned.
 """
 
 from __future__ import annotations

@@ -2,63 +2,137 @@
 
 Calls and results of a conversation are hash-joined by identifier. A result depends on its call, a call on the calls
 it names in ``after`` (on their results where there are any). The order is topological: each message stands at its
-turn, or where its last prerequisite stands if that is later, behind it. Arguments are validated against a schema per
-tool name by native expressions compiled from it, and each conversation is one canonical JSON array: keys sorted, no
+turn, or where its last prerequisite stands if that is later, behind it. Only from the first message of a conversation
+on that does not stand behind all its prerequisites by turn anyway is there something to order: everything before keeps
+its turn, and what follows is settled by rounds over all conversations at once. Arguments are validated against a schema
+per tool name by native expressions compiled from it, and each conversation is one canonical JSON array: keys sorted, no
 white space, one object a message.
 
 Messages are (conv_id, turn, kind, role, text, call_id, name, arguments, after): kind is "message", "call" or
-"result", arguments a JSON text, after an array of call ids.
-
-Defined results: null conv_ids are one conversation. A null turn stands first; ties are ordered by kind, call_id and
-content. A second call with an identifier counts as duplicate and takes no results; a result without a call is an
-orphan and a call without a result unanswered, both stay at their turn. Members of a dependency cycle stay at their
-turns and count as cyclic. Arguments that are no JSON or break the schema are invalid and serialised as text if they
-are no JSON; a tool without a schema takes any JSON object. Null texts are empty ones. Repeated rows are messages of
-their own. An empty table gives no rows. Extra columns do not matter.
+"result", arguments a JSON text, after an array of call ids. conv_id may be of any type that can be grouped.
+
+Defined results: null conv_ids are one conversation, whose messages are gathered in one row as those of any other. A
+null turn stands first; ties are ordered by kind, call_id and content. A second call with an identifier counts as
+duplicate and takes no results; a result without a call is an orphan and a call without a result unanswered, both stay
+at their turn. Members of a dependency cycle, and what depends on them, stay at their turns and count as cyclic.
+Arguments that are no JSON or break the schema are invalid and serialised as text if they are no JSON; a tool without a
+schema takes any JSON object. Null texts are empty ones; very long texts stay whole. Repeated rows are messages of their
+own. An empty table gives no rows. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
-#: JSON types and how Spark names them in a variant.
-_TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT<", "array": "^ARRAY<", "null": "^VOID$"}
+#: JSON types and how Spark names them in a variant. Whole numbers beyond 64 bits and with a point are decimals or doubles.
+_TYPES = {"string": "^STRING$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT<", "array": "^ARRAY<", "null": "^VOID$"}
+#: JSON Schema keywords that say nothing about validity, and those that are checked; fixed values.
+_NOTES = frozenset("title description default examples $schema $id $comment deprecated readOnly writeOnly".split())
+_CHECKED = frozenset(
+    "type enum const required properties additionalProperties minProperties maxProperties items minItems maxItems minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum allOf anyOf oneOf not".split()
+)
 
 
-def valid(arguments: Column, schema: dict) -> Column:
-    """Whether a JSON text meets an object schema: type, required, additionalProperties, properties' type, enum, bounds."""
-    whole = F.try_parse_json(arguments)
-    ok = F.coalesce(F.schema_of_variant(whole).rlike(_TYPES["object"]), F.lit(False))
-    keys = F.json_object_keys(arguments)
+def _get(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
+
+
+def _same(value: Column, kind: Column, literal: object) -> Column:
+    """Whether a JSON value equals a literal of the schema, as JSON: 1 is 1.0, and no string."""
+    if literal is None:
+        return kind == "VOID"
+    if isinstance(literal, bool):
+        return (kind == "BOOLEAN") & (_get(value, "boolean") == literal)
+    if isinstance(literal, (int, float)):
+        return kind.rlike(_TYPES["number"]) & (_get(value, "double") == float(literal))
+    if isinstance(literal, str):
+        return (kind == "STRING") & (_get(value, "string") == literal)
+    return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(literal))))
+
+
+def _rule(schema: dict | bool):
+    return lambda value: _meets(value, schema)
+
+
+def _meets(value: Column, schema: dict | bool) -> Column:
+    """Whether a JSON value (a variant that is not null) meets a schema. Names never become part of a path."""
+    if isinstance(schema, bool):
+        return F.lit(schema)
+    strange = set(schema) - _CHECKED - _NOTES
+    if strange:
+        raise ValueError(f"schema keywords that are not supported: {sorted(strange)}")
+    ok = F.lit(True)
+    kind = F.schema_of_variant(value)
+    if "type" in schema:
+        types, any_of = schema["type"] if isinstance(schema["type"], list) else [schema["type"]], F.lit(False)
+        for t in types:
+            if t == "integer":
+                number = _get(value, "double")
+                any_of = any_of | (kind.rlike(_TYPES["number"]) & (number == F.rint(number)))
+            else:
+                any_of = any_of | kind.rlike(_TYPES[t])
+        ok = ok & any_of
+    if "const" in schema:
+        ok = ok & _same(value, kind, schema["const"])
+    if "enum" in schema:
+        among = F.lit(False)
+        for literal in schema["enum"]:
+            among = among | F.coalesce(_same(value, kind, literal), F.lit(False))
+        ok = ok & among
+
+    def when_type(t: str, *checks: Column) -> None:
+        nonlocal ok
+        for c in checks:
+            ok = ok & (~kind.rlike(_TYPES[t]) | F.coalesce(c, F.lit(False)))
+
+    text, number = _get(value, "string"), _get(value, "double")
+    bounds = {"minLength": F.length(text) >= schema.get("minLength"), "maxLength": F.length(text) <= schema.get("maxLength")}
+    when_type("string", *[c for k, c in bounds.items() if k in schema])
+    if "pattern" in schema:
+        when_type("string", text.rlike(schema["pattern"]))
+    for k, c in {"minimum": lambda x: number >= float(x), "maximum": lambda x: number <= float(x), "exclusiveMinimum": lambda x: number > float(x), "exclusiveMaximum": lambda x: number < float(x)}.items():
+        if k in schema:
+            when_type("number", c(schema[k]))
+    items = _get(value, "array<variant>")
+    for k, c in {"minItems": lambda x: F.size(items) >= x, "maxItems": lambda x: F.size(items) <= x}.items():
+        if k in schema:
+            when_type("array", c(schema[k]))
+    if "items" in schema:
+        when_type("array", F.forall(items, lambda x: _meets(x, schema["items"])))
+    fields = _get(value, "map<string,variant>")
+    for k, c in {"minProperties": lambda x: F.size(fields) >= x, "maxProperties": lambda x: F.size(fields) <= x}.items():
+        if k in schema:
+            when_type("object", c(schema[k]))
     if schema.get("required"):
-        ok = ok & (F.size(F.array_except(F.array(*map(F.lit, schema["required"])), keys)) == 0)
-    if schema.get("additionalProperties", True) is False:
-        ok = ok & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>"))) == 0)
+        when_type("object", F.size(F.array_except(F.array(*map(F.lit, schema["required"])), F.map_keys(fields))) == 0)
     for name, rule in schema.get("properties", {}).items():
-        path = f'$["{name}"]'
-        value = F.try_variant_get(whole, path, "variant")
-        good = F.lit(True)
-        if "type" in rule:
-            types = rule["type"] if isinstance(rule["type"], list) else [rule["type"]]
-            good = good & F.schema_of_variant(value).rlike("|".join(_TYPES[t] for t in types))
-        text, number = F.try_variant_get(whole, path, "string"), F.try_variant_get(whole, path, "double")
-        if "enum" in rule:
-            good = good & text.isin([str(x) for x in rule["enum"]])
-        if "minLength" in rule:
-            good = good & (F.length(text) >= rule["minLength"])
-        if "maxLength" in rule:
-            good = good & (F.length(text) <= rule["maxLength"])
-        if "minimum" in rule:
-            good = good & (number >= rule["minimum"])
-        if "maximum" in rule:
-            good = good & (number <= rule["maximum"])
-        ok = ok & (~F.array_contains(keys, name) | F.coalesce(good, F.lit(False)))
+        when_type("object", ~F.map_contains_key(fields, name) | let(F.try_element_at(fields, F.lit(name)), _rule(rule)))
+    rest = schema.get("additionalProperties", True)
+    if rest is not True:
+        named = F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>")
+        when_type("object", F.forall(F.map_entries(fields), lambda e: F.array_contains(named, e["key"]) | _meets(e["value"], rest)))
+    for part in schema.get("allOf", []):
+        ok = ok & _meets(value, part)
+    for word in ("anyOf", "oneOf"):
+        if word in schema:
+            n = sum((_meets(value, part).cast("int") for part in schema[word]), F.lit(0))
+            ok = ok & ((n > 0) if word == "anyOf" else (n == 1))
+    if "not" in schema:
+        ok = ok & ~_meets(value, schema["not"])
     return F.coalesce(ok, F.lit(False))
 
 
+def valid(arguments: Column, schema: dict) -> Column:
+    """Whether a JSON text is an object that meets a JSON schema; keywords that are not supported raise ValueError."""
+    whole = F.try_parse_json(arguments)
+    return F.coalesce(F.schema_of_variant(whole).rlike(_TYPES["object"]) & _meets(whole, schema), F.lit(False))
+
+
 def validity(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
     out = None
     for tool, schema in schemas.items():
@@ -77,11 +151,16 @@ def _hash_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(right.hint("shuffle_hash"), condition, how).drop(*[f"r_{c}" for c in on])
 
 
-def _positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, place, depth, cyclic: topological positions of nodes that have prerequisites; edges are (node, dep, dep_turn, turn)."""
+def _positions(edges: DataFrame) -> DataFrame:
+    """node, place, depth, cyclic of nodes that prerequisites may move; edges are (conv_id, node, dep, dep_turn, turn)."""
+    edges = materialise(edges, "prerequisites")
+    late = edges.where("dep_turn >= turn").groupBy("conv_id").agg(F.min("turn").alias("r_from")).withColumnRenamed("conv_id", "r_conv_id")
+    late = materialise(late, "late")
+    # a node that stands before its conversation's first late one has none among its prerequisites, near or far
+    edges = edges.join(late, edges["conv_id"].eqNullSafe(late["r_conv_id"])).where(F.col("turn") >= F.col("r_from")).drop("r_conv_id", "r_from")
+    edges = materialise(edges, "open_prerequisites")
     wanted = edges.groupBy("node").agg(F.count("*").alias("n"), F.first("turn").alias("turn"))
     wanted = materialise(wanted, "wanted")
-    edges = materialise(edges, "prerequisites")
     inner = edges.join(wanted.select(F.col("node").alias("dep")), "dep", "left_semi")
     # prerequisites without prerequisites of their own stand at their turns
     ready = edges.join(wanted.select(F.col("node").alias("dep")), "dep", "left_anti").select("node", "dep", F.col("dep_turn").alias("place"), F.lit(0).alias("depth"))
@@ -109,7 +188,7 @@ def _positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """conv_id, counts of links and faults, and the canonical JSON of each conversation."""
     m = messages.select(
-        F.col("conv_id").cast("long"),
+        F.col("conv_id"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col("kind"), F.lit("message")).alias("kind"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
@@ -127,11 +206,11 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     linked = materialise(_hash_join(results.where("call_id is not null"), first, ["conv_id", "call_id"], "inner"), "linked")
     answered = linked.select(F.col("call_node").alias("node")).distinct().withColumn("answered", F.lit(True))
 
-    edges = linked.select("node", F.col("call_node").alias("dep"), F.col("call_turn").alias("dep_turn"), "turn")
+    edges = linked.select("conv_id", "node", F.col("call_node").alias("dep"), F.col("call_turn").alias("dep_turn"), "turn")
     named = calls.select("conv_id", "node", "turn", F.explode(F.array_distinct("after")).alias("call_id"))
-    needs = _hash_join(named, first, ["conv_id", "call_id"], "inner").select("node", F.col("call_node").alias("dep"), F.col("call_turn").alias("dep_turn"), "turn")
-    outcome = needs.select("node", F.col("dep").alias("call_node"), "turn").join(linked.select("call_node", F.col("node").alias("dep"), F.col("turn").alias("dep_turn")), "call_node").select("node", "dep", "dep_turn", "turn")
-    places = _positions(m, edges.unionByName(needs).unionByName(outcome))
+    needs = _hash_join(named, first, ["conv_id", "call_id"], "inner").select("conv_id", "node", F.col("call_node").alias("dep"), F.col("call_turn").alias("dep_turn"), "turn")
+    outcome = needs.select("conv_id", "node", F.col("dep").alias("call_node"), "turn").join(linked.select("call_node", F.col("node").alias("dep"), F.col("turn").alias("dep_turn")), "call_node")
+    places = _positions(edges.unionByName(needs).unionByName(outcome.select("conv_id", "node", "dep", "dep_turn", "turn")))
 
     firsts = first.select(F.col("call_node").alias("node")).withColumn("is_first", F.lit(True))
     links = linked.select("node").withColumn("linked", F.lit(True))
@@ -172,18 +251,22 @@ REPLY_SCHEMA = {"type": "object", "required": ["text", "turn"], "additionalPrope
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """Turns (conv_id, turn, role, text) as messages: a user turn calls for a reply, the assistant turn after it is the result."""
+    """Turns (conv_id, turn, role, text) as messages: a user turn calls for a reply, the assistant turn after it is the result.
+
+    A call comes after the call of the user turn two turns before, and thus after its reply.
+    """
     role = F.coalesce(F.col("role"), F.lit(""))
     call, result = role == "user", role == "assistant"
     turn = F.col("turn").cast("long")
+    name = lambda t: F.concat(F.lit("call_"), t.cast("string"))
     return conversations.select(
-        F.col("conv_id").cast("long"),
+        F.col("conv_id"),
         turn.alias("turn"),
         F.when(call, "call").when(result, "result").otherwise("message").alias("kind"),
         role.alias("role"),
         F.col("text").cast("string").alias("text"),
-        F.when(call, F.concat(F.lit("call_"), turn.cast("string"))).when(result, F.concat(F.lit("call_"), (turn - 1).cast("string"))).alias("call_id"),
+        F.when(call, name(turn)).when(result, name(turn - 1)).alias("call_id"),
         F.when(call, "reply").alias("name"),
         F.when(call, F.to_json(F.struct(turn.alias("turn"), F.coalesce(F.col("text"), F.lit("")).alias("text")))).alias("arguments"),
-        F.array().cast("array<string>").alias("after"),
+        F.when(call, F.array_compact(F.array(name(turn - 2)))).alias("after"),
     )

@@ -4,12 +4,14 @@ Line hashes are range-partitioned and sorted by hash, document (largest first) a
 is streamed once; its first row names the keeper. What an operator returns are run-length compressed keep bitmaps
 per document, not text: ``apply_bitmaps`` turns them into text where that is wanted.
 
-A key's rows are spread over ``SLICES`` slices by document, so a key that holds a third of all lines still falls
-into many range partitions; slices meet again as one counted row each. Keys are compared by two 64-bit hashes.
+A key's rows are spread over slices by document, so a key that holds a third of all lines still falls into many range
+partitions; slices meet again as one counted row each, and lines find their keeper slice by slice. There are ``SLICES``
+slices, or as many as keep about ``SLICE_LINES`` of all lines in each. Keys are compared by two 64-bit hashes.
 
 Defined results: a null or empty text is one empty line. Rows with the same doc_id count as one document; each
 row's own lines are judged by its own positions. A null doc_id counts as one document, smaller than every other.
-Extra columns do not matter.
+Ties: a key's largest doc_id keeps all its lines with that key. Very long texts are split whole, in the row that holds
+them. An empty table gives no rows. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from .common import fresh, let, materialise
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: A key's lines are dealt to so many slices by document.
+#: A key's lines are dealt to so many slices by document, at least.
 SLICES = 64
+SLICE_LINES = 1_000_000
 #: Characters that a key loses at both ends.
 EDGE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,16 +47,21 @@ def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.where(F.length("key") >= min_chars).select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
+def slice_of(slices: int) -> Column:
+    return F.pmod(F.hash("doc_id"), F.lit(slices))
+
+
 def repeated_keys(lines: DataFrame, min_docs: int = MIN_DOCS, slices: int = SLICES) -> DataFrame:
-    """Keys of at least ``min_docs`` documents with their keeper: h1, h2, keeper."""
-    sliced = lines.select("h1", "h2", F.pmod(F.hash("doc_id"), F.lit(slices)).alias("slice"), "doc_id", "pos")
+    """Slices of the keys of at least ``min_docs`` documents, with the key's keeper: h1, h2, slice, keeper."""
+    sliced = lines.select("h1", "h2", slice_of(slices).alias("slice"), "doc_id", "pos")
     ranged = sliced.repartitionByRange("h1", "h2", "slice")
     run = Window.partitionBy("h1", "h2", "slice").orderBy(F.col("doc_id").desc_nulls_last(), "pos")
     again = (F.row_number().over(run) > 1) & F.col("doc_id").eqNullSafe(F.lag("doc_id").over(run))
     streamed = ranged.select("h1", "h2", "slice", "doc_id", (~again).cast("long").alias("first_of_doc"))
     by_slice = streamed.groupBy("h1", "h2", "slice").agg(F.sum("first_of_doc").alias("n"), F.max("doc_id").alias("top"))
-    whole = by_slice.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("keeper"))
-    return whole.where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    # a key has at most as many rows here as there are slices
+    whole = by_slice.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("keeper"), F.collect_list("slice").alias("slices"))
+    return whole.where(F.col("n") >= min_docs).select("h1", "h2", F.explode("slices").alias("slice"), "keeper")
 
 
 def drop_runs(positions: Column) -> Column:
@@ -70,8 +78,9 @@ def drop_runs(positions: Column) -> Column:
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, row (xxhash64 of the text), drops array<struct<start,length>> for each document that loses lines."""
     lines = materialise(lines_of(docs, min_chars), "line_hashes")  # sampled for ranges, counted and joined: texts are split once
-    keys = materialise(repeated_keys(lines, min_docs), "line_keys")
-    lost = lines.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    slices = max(SLICES, lines.count() // SLICE_LINES)  # counted from the table's footers
+    keys = materialise(repeated_keys(lines, min_docs, slices), "line_keys")
+    lost = lines.withColumn("slice", slice_of(slices)).join(keys, ["h1", "h2", "slice"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "row").agg(drop_runs(F.sort_array(F.collect_set("pos"))).alias("drops"))
 
 

@@ -7,10 +7,12 @@ left, which recovers the digests of either side that the other lacks. If peeling
 larger, until it succeeds. The fingerprint is the sketch of the base size, the same for equal texts.
 
 Documents are dealt by ranges of doc_id between bounds, each range with the first document of the next one, so a
-document meets the next one (ascending doc_id) inside one partition and no partition holds more than its range.
+document meets the next one (ascending doc_id) inside one partition and no partition holds more than its range. There
+are so many ranges that each has about ``SPAN_CHARS`` characters of text, and each is a task of its own.
 
-Defined results: a null or empty text is one empty paragraph. A null doc_id sorts first; rows that share a doc_id are
-ordered by text. The last row's next is the first row; a single row is its own next. Extra columns do not matter.
+Defined results: a null or empty text is one empty paragraph. A null doc_id sorts first; rows that share a doc_id (ties,
+repeated rows) are ordered by text. The last row's next is the first row; a single row is its own next. A very long text
+is handled whole, with few others beside it. An empty table gives no rows. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ CELLS = 8
 TABLES = 3
 #: Characters of text that are handled at a time.
 CHUNK_CHARS = 1_500_000
+#: Characters of text in a range, about; smaller tables have two ranges for each shuffle partition.
+SPAN_CHARS = 128_000_000
 _CUT = re.compile(r"\n|(?<=[.!?]) ")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -232,7 +236,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_spans = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_spans = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // SPAN_CHARS)
     shares = [i / n_spans for i in range(1, n_spans)]
     bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10 * n_spans)).first()[0] or []))
     span = _below(bounds, F.col("doc_id"))
@@ -245,5 +250,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     met = spanned.join(F.broadcast(table), spanned["doc_id"].eqNullSafe(table["first"]), "left")
     places = F.array_compact(F.array(F.struct("span", F.lit(False).alias("guard")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("span"), F.lit(True).alias("guard")))))
     dealt = met.select("doc_id", "text", F.explode(places).alias("p")).select("p.span", "p.guard", "doc_id", "text")
-    dealt = dealt.repartition(n_spans, "span").sortWithinPartitions("span", "guard", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionById(n_spans, F.col("span").cast("int")).sortWithinPartitions("span", "guard", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(_run, _COLUMNS)

@@ -4,10 +4,12 @@ A segment's characters start as symbols; an agenda ordered by piece score (ties:
 whose concatenation is a piece, and the best pair is merged until none is left. Characters that no piece covers fall
 back to bytes. Segments that cannot share a piece are encoded on their own and cached, up to ``CACHED`` of them.
 In each Arrow batch the library encodes every segment that was not met before, and a whole text of each chunk; where
-the two differ the library's ids count and ``agrees`` is false. The library decodes every text.
+the two differ the library's ids count and ``agrees`` is false. The library decodes every text. For a model with another
+normaliser than the identity, or other white space rules, every text's ids are the library's and ``agrees`` is false.
 
 Defined results: a null text is an empty one, whose ids are begin and end alone. Rows are independent, so repeated
-rows and ties need no rule; an empty table gives no rows. Extra columns are not returned.
+rows, null ids and ties need no rule; a very long text is encoded whole, in a chunk of its own; an empty table gives no
+rows. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -33,9 +35,47 @@ MARK = "▁"
 _BREAKS = "\n\r\t"
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a protocol buffer message: numbers for varints, bytes for all else."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    while at < len(message):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+def keeps_text(model: bytes) -> bool:
+    """Whether a model's normaliser is the identity but for marks: no character map, a prefix mark, all white space kept.
+
+    Field numbers are those of the published model format: 2 and 3 hold the trainer's and the normaliser's settings.
+    """
+    spec = dict(_fields(model))
+    trainer, normaliser = (dict(_fields(spec.get(k, b""))) for k in (2, 3))
+    prefix, fewer, escape = (normaliser.get(k, 1) for k in (3, 4, 5))
+    return not normaliser.get(2) and bool(prefix) and not fewer and bool(escape) and not trainer.get(24, 0)
+
+
 class PieceBpe:
     def __init__(self, path: str):
         self.library = sp = spm.SentencePieceProcessor(model_file=path)
+        self.own = keeps_text(sp.serialized_model_proto())
         n = sp.get_piece_size()
         usual = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         if any(sp.is_unused(i) for i in usual) or not any(sp.is_byte(i) for i in range(n)):
@@ -96,6 +136,8 @@ class PieceBpe:
 
     def encode_many(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Ids of each text without begin and end, little-endian unsigned 32-bit, and whether own and library agree."""
+        if not self.own:
+            return [np.array(x, "<u4").tobytes() for x in self.library.encode(texts, num_threads=1)], [False] * len(texts)
         pieces = [self.segments.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         extra = self.learn(set().union(*pieces))
         of, differ = self.cache.__getitem__, self.differ

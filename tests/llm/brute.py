@@ -60,8 +60,27 @@ def similarity(a, b):
     return len(chain) / (len(a) + len(b) - len(chain))
 
 
-def near_groups(rows, threshold=0.8):
-    of, parent = {d: labelled(t) for d, t in rows}, {d: d for d, _ in rows}
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def near_copies(a, b, threshold=0.8):
+    """Edit similarity of the words, or the ordered Jaccard similarity of labelled 5-word k-mers."""
+    x, y = WORD.findall(a or ""), WORD.findall(b or "")
+    n = max(len(x), len(y))
+    if n and min(len(x), len(y)) < threshold * n - 1e-9:
+        return False
+    return similarity(labelled(a), labelled(b)) >= threshold - 1e-12 or not n or distance(x, y) <= (1 - threshold) * n + 1e-9
+
+
+def near_groups(rows, threshold=0.8, met=lambda a, b: True):
+    """Components of the links among pairs of ids that ``met`` lets through."""
+    of, parent = dict(rows), {d: d for d, _ in rows}
 
     def find(x):
         while parent[x] != x:
@@ -71,7 +90,7 @@ def near_groups(rows, threshold=0.8):
     ids = sorted(of)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if similarity(of[a], of[b]) >= threshold:
+            if met(a, b) and near_copies(of[a], of[b], threshold):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in ids}

@@ -22,6 +22,42 @@ TRAILERS = "Change-Id Reviewed-on Reviewed-by Commit-Queue Auto-Submit Cr-Commit
 CHERRY = r"(?i)\(cherry picked from commit ([0-9a-f]{7,40})\)"
 HASH40 = r"\b([0-9a-f]{40})\b"
 REVISION_MARK = "The following revision refers to this bug:"
+CAMEL = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+SCRIPT_URL = r"const\s+url\s*=\s*[\"']([^\"']+)[\"']"
+JSON_FENCED, JSON_BARE = r"(?s)```(?:json)?\s*(\{.*?\})\s*```", r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})"
+#: Text that may give away where a flaw is.
+LEAKS = (
+    r"(?i)(\b(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.(?:c|cc|cpp|cxx|h|hpp|hh|hxx|m|mm|java|js|ts|py|go|rs)\b"
+    r"|\b(?:[A-Za-z_~][\w<>]*::)+[A-Za-z_~][\w<>]*\b"
+    r"|\b[A-Za-z_~][A-Za-z0-9_:<>.~]*\s+function\s+in\b"
+    r"|\b[A-Za-z0-9_.-]+\.(?:c|cc|cpp|cxx|h|hpp|hh|hxx|m|mm|java|js|ts|py|go|rs)\b"
+    r"|\b\d+\.(?:x|\d+)(?:\.(?:x|\d+)){1,4}\b"
+    r"|\b(?:Windows|Linux|OS\s+X|macOS|Mac\s+OS\s+X|Mac|Android|iOS|Chrome\s?OS|ChromeOS)\b)"
+)
+#: Kinds of masked text, the names that answers have for them, and how they show in a text.
+MASKED = ["FUNC", "FILE", "SOFTWARE_VERSION", "OS_VERSION"]
+MASK_ALIASES = {
+    "function": "FUNC",
+    "method": "FUNC",
+    "func": "FUNC",
+    "filepath": "FILE",
+    "path": "FILE",
+    "file": "FILE",
+    "filename": "FILE",
+    "version": "SOFTWARE_VERSION",
+    "software_version": "SOFTWARE_VERSION",
+    "product_version": "SOFTWARE_VERSION",
+    "os": "OS_VERSION",
+    "platform": "OS_VERSION",
+    "os_version": "OS_VERSION",
+}
+PLACEHOLDER = "<(?:FUNC|FILE|SOFTWARE_VERSION|OS_VERSION)>"
+#: Signatures of test functions, and folders and files of tests.
+TEST_SIGNATURE = r"::SetUp\(\)|::TearDown\(\)|\bSetUp\(\)|\bTearDown\(\)|\bTestBody\(\)|\bTEST\b|\bTEST_F\b|\bTEST_P\b|\bTYPED_TEST\b"
+TEST_FOLDER = r"(?i)(^|[\\/])(test|tests|gtest|unittest)([\\/]|$)"
+TEST_FILE = r"(?i)(_test|_tests|_unittest|_integrationtest)\.(c|cc|cpp|cxx|h|hpp|hh|hxx)$"
+#: Commands that look into a repository's history.
+HISTORY_COMMAND = r"\bgit\s+(log|show|blame|diff|stash|reflog|whatchanged|cherry(?:-pick)?|bisect|format-patch|range-diff|revert|apply)\b"
 # ------------------------------------------------------------------------------------------------------------------
 
 
@@ -244,7 +280,7 @@ def identifier_tokens(text: Column) -> Column:
     """Lower-case parts of two or more characters of identifiers; camel case is split unless a word is of one case."""
     words = F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z0-9]*)"), 1), lambda w: F.length(w) > 1)
     one_case = lambda w: (w == F.upper(w)) | (w == F.lower(w))
-    parts = F.transform(words, lambda w: F.when(one_case(w), F.array(F.lower(w))).otherwise(F.transform(F.split(w, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"), F.lower)))
+    parts = F.transform(words, lambda w: F.when(one_case(w), F.array(F.lower(w))).otherwise(F.transform(F.split(w, CAMEL), F.lower)))
     return F.filter(F.flatten(parts), lambda w: F.length(w) > 1)
 
 
@@ -306,7 +342,7 @@ def change_number(url: Column) -> Column:
 
 def script_redirect(body: Column) -> Column:
     """Where a page's script sends the reader: const url = "..."."""
-    return filled(F.regexp_extract(body, r"const\s+url\s*=\s*[\"']([^\"']+)[\"']", 1))
+    return filled(F.regexp_extract(body, SCRIPT_URL, 1))
 
 
 def git_svn_id(message: Column) -> Column:
@@ -323,16 +359,15 @@ def json_in_answer(text: Column) -> Column:
     return F.coalesce(ok(bare), ok(inner))
 
 
-def last_json(text: Column) -> Column:
-    """The last valid JSON object of a transcript: fenced blocks first, then bare objects of one level of nesting."""
-    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), 1)
-    bare = F.regexp_extract_all(text, F.lit(r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})"), 1)
-    good = lambda a: F.get(F.reverse(F.filter(a, lambda x: F.try_parse_json(x).isNotNull())), F.lit(0))
+def last_json(text: Column, key: str | None = None) -> Column:
+    """The last valid JSON object of a transcript (with ``key``): fenced blocks first, then bare ones of one level of nesting."""
+    fenced = F.regexp_extract_all(text, F.lit(JSON_FENCED), 1)
+    bare = F.regexp_extract_all(text, F.lit(JSON_BARE), 1)
+    fits = lambda x: F.try_parse_json(x).isNotNull() if key is None else F.array_contains(F.json_object_keys(x), key) & F.try_parse_json(x).isNotNull()
+    good = lambda a: F.get(F.reverse(F.filter(a, lambda x: F.coalesce(fits(x), F.lit(False)))), F.lit(0))
     return F.coalesce(good(fenced), good(bare))
 
 
-LEAKS = r"(?i)(?:[\w./-]+\.(?:cc|cpp|cxx|c|h|hpp|mm|js|py|java)\b|\w+::\w+|\b(?:function|method) in\b|\b\d+(?:\.\d+){1,3}\b|\b(?:windows|macos|linux|android|ios|chrome os)\b)"
-PLACEHOLDER = r"\[(?:FILE|FUNCTION|SYMBOL|VERSION|PLATFORM|PRODUCT)\]"
 
 
 def maybe_leaks(text: Column) -> Column:
@@ -474,13 +509,22 @@ def for_each(items: Column, line: Callable[[Column, Column], Column], by: str =
     return F.array_join(F.transform(items, lambda x, i: line(x, i + 1)), by)
 
 
-TEST_SIGNATURE = r"(?:^|[.:\s])(?:TEST|TEST_F|TEST_P|TYPED_TEST|TYPED_TEST_P|IN_PROC_BROWSER_TEST_F|IN_PROC_BROWSER_TEST_P|INSTANTIATE_TEST_SUITE_P|BENCHMARK)(?:$|[:(.])|_Test\b"
-
 
 def is_test_signature(sig: Column) -> Column:
     return F.coalesce(sig.rlike(TEST_SIGNATURE), F.lit(False))
 
 
+def is_test_path(path: Column) -> Column:
+    """A file in a folder of tests, or named like one."""
+    folder = F.regexp_extract(path, r"^(.*)[\\/][^\\/]*$", 1)
+    return F.coalesce(folder.rlike(TEST_FOLDER) | path.rlike(TEST_FILE), F.lit(False))
+
+
+def none_contains(items: Column, part: str) -> Column:
+    """No element has the part; so it is for null and empty arrays."""
+    return ~F.coalesce(F.exists(items, lambda x: F.contains(x, F.lit(part))), F.lit(False))
+
+
 def without_class_macros(code: Column) -> Column:
     """'class EXPORT_MACRO Foo' -> 'class Foo', and macros between a parameter list and its body."""
     out = F.regexp_replace(code, r"\b(class|struct)\s+[A-Z][A-Z0-9_]{2,}(?:\([^()]*\))?\s+(?=\w)", "$1 ")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.columns import PLACEHOLDER, json_in_answer, last_json, maybe_leaks, placeholders
+from lodestrata.functions.columns import HISTORY_COMMAND, MASK_ALIASES, json_in_answer, last_json, let, maybe_leaks, placeholders
 
 Client = Callable[[str, str], str]
 
@@ -49,17 +49,64 @@ def cached_call(df: DataFrame, key: str, prompt: str, cache: DataFrame, client:
     return known.unionByName(new), new.where("status = 'ok'").select(key, "answer")
 
 
-def mask_errors(answer: Column) -> Column:
-    """Why a masking answer (JSON of has_leakage and masked_text) is no good, null if it is."""
+def mask_answer(answer: Column, original: Column) -> Column:
+    """A masking answer, checked and put in order: struct<problem, has_leakage, sanitized_desc, replacements>.
+
+    The answer is a JSON object of has_leakage, sanitized_desc and replacements (type, original). Types go by any of their
+    names; repeated replacements are one, and those without a placeholder in the text go. An answer without leakage
+    has the original text. ``problem`` says what is wrong first, and is null if nothing is; then the rest is null.
+    """
     v = F.try_parse_json(json_in_answer(answer))
-    flag, text = F.try_variant_get(v, "$.has_leakage", "boolean"), F.try_variant_get(v, "$.masked_text", "string")
-    return (
-        F.when(v.isNull(), "no JSON")
-        .when(flag.isNull(), "has_leakage is missing")
-        .when(flag & F.coalesce(F.trim(text), F.lit("")).eqNullSafe(""), "masked_text is missing")
-        .when(flag & (placeholders(text) == 0), "no placeholder")
-        .when(~flag & F.coalesce(text.rlike(PLACEHOLDER), F.lit(False)), "placeholder without leakage")
-    )
+
+    def checked(x: Column) -> Column:
+        fields = F.try_variant_get(x, "$", "map<string,variant>")
+        missing = F.array_except(F.array(*map(F.lit, ("has_leakage", "replacements", "sanitized_desc"))), F.map_keys(fields))
+        kind = lambda name: F.schema_of_variant(F.try_element_at(fields, F.lit(name)))
+        flag = F.try_variant_get(F.try_element_at(fields, F.lit("has_leakage")), "$", "boolean")
+        text = F.trim(F.try_variant_get(F.try_element_at(fields, F.lit("sanitized_desc")), "$", "string"))
+        items = F.try_variant_get(F.try_element_at(fields, F.lit("replacements")), "$", "array<variant>")
+        part = lambda i, name: F.trim(F.coalesce(F.try_variant_get(i, f"$.{name}", "string"), F.lit("")))
+        named = lambda i: F.element_at(F.create_map(*[F.lit(y) for kv in MASK_ALIASES.items() for y in kv]), F.lower(part(i, "type")))
+        faults = F.transform(
+            items,
+            lambda i: F.when(~F.schema_of_variant(i).startswith("OBJECT"), "a replacement is no object")
+            .when(part(i, "original") == "", "a replacement has no original")
+            .when(named(i).isNull(), "a replacement's type is unknown"),
+        )
+        fault = F.get(F.filter(faults, lambda f: f.isNotNull()), F.lit(0))
+        rows = F.array_distinct(F.transform(items, lambda i: F.struct(named(i).alias("type"), part(i, "original").alias("original"))))
+        rows = F.filter(rows, lambda r: F.contains(text, F.concat(F.lit("<"), r["type"], F.lit(">"))))
+        problem = (
+            F.when(fields.isNull(), "no JSON")
+            .when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ", ")))
+            .when(kind("has_leakage") != "BOOLEAN", "has_leakage is no boolean")
+            .when(flag & (kind("sanitized_desc") != "STRING"), "sanitized_desc is no text")
+            .when(flag & (text == ""), "sanitized_desc is empty")
+            .when(~kind("replacements").startswith("ARRAY"), "replacements is no list")
+            .when(fault.isNotNull(), fault)
+            .when(flag & (placeholders(text) == 0), "no placeholder")
+            .when(flag & (F.size(rows) == 0), "no replacement is left")
+        )
+        good = problem.isNull()
+        none = F.array().cast("array<struct<type:string,original:string>>")
+        return F.struct(
+            problem.alias("problem"),
+            F.when(good, flag).alias("has_leakage"),
+            F.when(good, F.when(flag, text).otherwise(original)).alias("sanitized_desc"),
+            F.when(good, F.when(flag, rows).otherwise(none)).alias("replacements"),
+        )
+
+    return let(v, checked)
+
+
+def mask_errors(answer: Column) -> Column:
+    """Why a masking answer is no good, null if it is."""
+    return mask_answer(answer, F.lit(""))["problem"]
+
+
+def retry_prompt(prompt: Column, problem: Column) -> Column:
+    """The prompt of another try: with what was wrong before, if anything was."""
+    return F.when(problem.isNull(), prompt).otherwise(F.concat(prompt, F.lit("\n\nThe last answer was not valid: "), problem))
 
 
 def needs_call(flag: Column, text: Column) -> Column:
@@ -68,10 +115,10 @@ def needs_call(flag: Column, text: Column) -> Column:
 
 
 def rule_mask(text: Column) -> Column:
-    """A deterministic stand-in for a masking model: versions, symbols and files become placeholders."""
-    out = F.regexp_replace(text, r"[\w./-]+\.(?:cc|cpp|cxx|c|h|hpp|mm|js|py|java)\b", "[FILE]")
-    out = F.regexp_replace(out, r"\w+(?:::\w+)+", "[SYMBOL]")
-    return F.regexp_replace(out, r"\b\d+(?:\.\d+){1,3}\b", "[VERSION]")
+    """A deterministic stand-in for a masking model: symbols, files and versions become placeholders."""
+    out = F.regexp_replace(text, r"\b[\w./-]+\.(?:cc|cpp|cxx|c|hpp|hh|hxx|h|mm|m|java|js|ts|py|go|rs)\b", "<FILE>")
+    out = F.regexp_replace(out, r"\w+(?:::\w+)+(?:\(\))?", "<FUNC>")
+    return F.regexp_replace(out, r"\b\d+(?:\.(?:x|\d+)){1,4}\b", "<SOFTWARE_VERSION>")
 
 
 def masked(df: DataFrame, text: str) -> DataFrame:
@@ -82,8 +129,8 @@ def masked(df: DataFrame, text: str) -> DataFrame:
 def restated(c: Column) -> Column:
     """Placeholders in words."""
     out = c
-    for mark, words in (("FILE", "a source file"), ("SYMBOL", "a symbol"), ("VERSION", "an affected version"), ("FUNCTION", "a function"), ("PLATFORM", "a platform"), ("PRODUCT", "the product")):
-        out = F.replace(out, F.lit(f"[{mark}]"), F.lit(words))
+    for mark, words in (("FILE", "a source file"), ("FUNC", "a function"), ("SOFTWARE_VERSION", "an affected version"), ("OS_VERSION", "a system version")):
+        out = F.replace(out, F.lit(f"<{mark}>"), F.lit(words))
     return out
 
 
@@ -104,14 +151,14 @@ def prompt(sections: list[tuple[str, Column]]) -> Column:
     return F.array_join(F.filter(F.array(*[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"## {h}\n"), c)) for h, c in sections]), lambda x: x.isNotNull()), "\n\n")
 
 
-def transcript_predictions(transcripts: DataFrame, text: str) -> DataFrame:
-    """The last JSON object of a transcript as an ordered list of (file, sig); several names of the fields are known."""
-    item = "struct<file:string,file_path:string,sig:string,function_name:string,func_name:string,name:string>"
-    parsed = F.from_json(last_json(F.col(text)), f"struct<functions:array<{item}>,predicted_functions:array<{item}>>")
-    rows = transcripts.withColumn("p_", parsed)
-    items = F.coalesce("p_.functions", "p_.predicted_functions", F.array().cast(f"array<{item}>"))
-    norm = F.transform(items, lambda x: F.struct(F.coalesce(x["file"], x["file_path"]).alias("file"), F.trim(F.coalesce(x["sig"], x["function_name"], x["func_name"], x["name"])).alias("sig")))
-    return rows.withColumn("predicted", F.filter(norm, lambda x: F.coalesce(x["sig"], F.lit("")) != "")).drop("p_")
+def transcript_predictions(transcripts: DataFrame, text: str, key: str = "vulnerable_functions") -> DataFrame:
+    """The list under ``key`` of a transcript's last JSON object that has it, as ordered (file, sig); items without a name go."""
+    item = "struct<file:string,function_name:string,func_name:string,name:string>"
+    parsed = F.from_json(last_json(F.col(text), key), f"struct<`{key}`:array<{item}>>")[key]
+    items = F.coalesce(parsed, F.array().cast(f"array<{item}>"))
+    filled_ = lambda c: F.nullif(c, F.lit(""))
+    norm = F.transform(items, lambda x: F.struct(F.coalesce(x["file"], F.lit("")).alias("file"), F.coalesce(filled_(x["function_name"]), filled_(x["func_name"]), filled_(x["name"])).alias("sig")))
+    return transcripts.withColumn("predicted", F.filter(norm, lambda x: x["sig"].isNotNull()))
 
 
 def mentions(messages: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
@@ -120,8 +167,6 @@ def mentions(messages: DataFrame, key: str, text: str, pattern: str) -> DataFram
     return each.groupBy(key).agg(F.max_by(F.struct("m", "n"), F.struct("n", F.length("m").alias("l"), "m")).alias("b")).select(key, F.col("b.m").alias("mention"), F.col("b.n").alias("n"))
 
 
-FORBIDDEN = r"(?i)(?:\bgit\s+(?:log|show|blame|diff|checkout|fetch|pull)\b|\bcurl\b|\bwget\b|\brm\s+-rf\b|https?://)"
-
-
 def forbidden(command: Column) -> Column:
-    return F.coalesce(command.rlike(FORBIDDEN), F.lit(False))
+    """Commands that look into a repository's history."""
+    return F.coalesce(command.rlike(HISTORY_COMMAND), F.lit(False))

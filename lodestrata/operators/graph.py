@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """A table in the folder that the cluster's executors share, so that lineage does not grow with each round."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-shared")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodestrata.sources.shared import kept
 
 
 def root_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:

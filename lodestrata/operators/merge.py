@@ -80,6 +80,13 @@ def enrich_elements(df: DataFrame, key: str, items: str, details: DataFrame, ele
     return out.withColumn(f"{items}_details", F.transform("found_", lambda x: x["d_"])).drop("found_")
 
 
+def union_elements(df: DataFrame, extra: DataFrame, key: str, items: str, extra_items: str) -> DataFrame:
+    """The row's array, then what ``extra`` (key, array) has beyond it; each element once. Rows without either have none."""
+    side = extra.select(key, F.col(extra_items).alias("extra_"))
+    none = F.array().cast(df.schema[items].dataType)
+    return df.join(side, key, "left").withColumn(items, F.array_union(F.coalesce(items, none), F.coalesce("extra_", none))).drop("extra_")
+
+
 def overlay(plan: DataFrame, previous: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Fields of an earlier run win over the plan's where they are there."""
     side = previous.select(*keys, *[F.col(f).alias(f"p_{f}") for f in fields])

@@ -429,7 +429,7 @@ def bm25_grid_best(spark, d):
 with dt as (select doc_id, lang, doc_id % 20 = 0 as test, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]*'), lambda x: length(x) > 1) as ts from documents join labels using (doc_id)),
 p as (select doc_id, lang, test, term, count(*)::double as tf from (select doc_id, lang, test, unnest(ts) as term from dt) group by all),
 v0 as (select lang, term, count(*)::double as df, sum(tf) as cf from p group by lang, term),
-v as (select * from v0 qualify row_number() over (partition by lang order by cf desc, term) <= 2000),
+v as (select * from v0 qualify row_number() over (partition by lang order by cf desc, term) <= 5000),
 n as (select lang, count(*)::double as n from dt group by lang),
 w as (select doc_id, p.lang, test, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) as w from p join v using (lang, term) join n on n.lang = p.lang),
 u as (select w.*, w / sqrt(sum(w * w) over (partition by doc_id)) as x from w),
@@ -439,7 +439,7 @@ t as (select query, 'q' || quality || 't' || toxic as item, round(sum(sim / rank
 select query, item, score, row_number() over (partition by query order by score desc, item)::int as rank from t""")
 def tfidf_knn_vote(spark, d):
     """I-2, A-14, T-3, X-23: neighbours by TF-IDF in each group vote for items."""
-    return _votes(spark, d, 2000)
+    return _votes(spark, d, 5000)
 
 
 def _votes(spark, d, terms):
@@ -459,19 +459,19 @@ def decision_tree_rank(spark, d):
 
 
 _DENSE = """
-with q as (select vec_id as query, embedding as e from embeddings where vec_id < 10),
+with q as (select vec_id as query, embedding as e from embeddings where vec_id % 100 = 0),
 s as (select query, vec_id as doc, label, round(list_dot_product(list_transform(e, lambda x: x::double), list_transform(embedding, lambda x: x::double)), 6) as score from embeddings join q on true),
 t as (select *, row_number() over (partition by query order by score desc, doc) as rank from s where doc <> query qualify rank <= 10)"""
 
 
-def _dense(spark, d, some="doc < 10"):
+def _dense(spark, d):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
-    return retrieval.neighbours(v, v.where(some), 10)
+    return retrieval.neighbours(v, v.where("doc % 100 = 0"), 10)
 
 
 @query(_DENSE + " select query, doc, score, rank::int as rank from t where score > 0")
 def dense_topk(spark, d):
-    """I-8, I-11, X-24, T-6, T-12: nearest vectors of a stated query set, without themselves."""
+    """I-8, I-11, X-24, T-6, T-12: nearest vectors of every hundredth vector, without themselves."""
     return _dense(spark, d).where("score > 0").select("query", "doc", "score", "rank")
 
 
@@ -497,7 +497,7 @@ def _negatives(spark, d, near):
     _DENSE
     + """,
 h as (select t.query, rank, (t.label = ql.label)::int as hit from t join embeddings ql on ql.vec_id = t.query),
-n as (select q.vec_id as query, count(*) - 1 as n from embeddings q join embeddings o on o.label = q.label where q.vec_id < 10 group by q.vec_id),
+n as (select q.vec_id as query, count(*) - 1 as n from embeddings q join embeddings o on o.label = q.label where q.vec_id % 100 = 0 group by q.vec_id),
 c as (select h.*, n.n, sum(hit) over (partition by h.query order by rank) as so_far from h join n using (query))
 select query, max(case when rank <= 1 then hit end)::double as hit_1, max(hit)::double as hit_10, sum(case when rank <= 5 then hit else 0 end) / 5.0::double as precision_5, round(sum(hit) / max(n)::double, 6) as recall_10,
   round(sum(hit) / (10 + max(n) - sum(hit))::double, 6) as iou_10, round(coalesce(1.0 / min(case when hit = 1 then rank end), 0.0)::double, 6) as mrr, round(sum(case when hit = 1 then so_far / rank::double else 0 end) / max(n), 6) as map
@@ -505,7 +505,7 @@ from c group by query"""
 )
 def rank_metrics(spark, d):
     """M-1, M-3, X-22, W-2, W-3: metrics of a ranking against the vectors of the same label."""
-    return _metrics(spark, d, _dense(spark, d), "vec_id < 10")
+    return _metrics(spark, d, _dense(spark, d), "vec_id % 100 = 0")
 
 
 def _metrics(spark, d, near, some):
@@ -517,44 +517,6 @@ def _metrics(spark, d, near, some):
     return m.select("query", "hit_1", "hit_10", "precision_5", *[_r(F.col(c)).alias(c) for c in ("recall_10", "iou_10", "mrr", "map")])
 
 
-# The SQL of some queries above has a smaller part of the job, and so have they. These do the whole of it.
-
-
-def _whole(name, *changes):
-    sql = ORACLE_SQL[name]
-    for old, new in changes:
-        assert old in sql, (name, old)
-        sql = sql.replace(old, new)
-    return sql
-
-
-_HUNDREDTH = ("vec_id < 10", "vec_id % 100 = 0")
-
-
-@query(_whole("dense_topk", _HUNDREDTH))
-def dense_topk_whole(spark, d):
-    """I-8, I-11, X-24, T-6, T-12: nearest vectors of every hundredth vector, without themselves."""
-    return _dense(spark, d, "doc % 100 = 0").where("score > 0").select("query", "doc", "score", "rank")
-
-
-@query(_whole("hard_negatives", _HUNDREDTH))
-def hard_negatives_whole(spark, d):
-    """I-9, J-21, J-31: near vectors of another label within a budget, for every hundredth vector."""
-    return _negatives(spark, d, _dense(spark, d, "doc % 100 = 0"))
-
-
-@query(_whole("rank_metrics", _HUNDREDTH))
-def rank_metrics_whole(spark, d):
-    """M-1, M-3, X-22, W-2, W-3: metrics of every hundredth vector's ranking."""
-    return _metrics(spark, d, _dense(spark, d, "doc % 100 = 0"), "vec_id % 100 = 0")
-
-
-@query(_whole("tfidf_knn_vote", ("<= 2000", "<= 5000")))
-def tfidf_knn_vote_whole(spark, d):
-    """I-2, A-14, T-3, X-23: neighbours by TF-IDF over the survey's 5,000 terms of each group vote for items."""
-    return _votes(spark, d, 5000)
-
-
 @query("""
 with r as (select o_orderkey, o_totalprice as a, count(*)::double as b from orders join lineitem on l_orderkey = o_orderkey group by all),
 k as (select a, b, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from r)
@@ -616,13 +578,21 @@ def two_stage_label(spark, d):
     return enrich.two_stages(docs, "doc_id", one, F.when(F.length("text") > 1000, "long").otherwise("brief"), ["restate"]).select("doc_id", "stage1", "stage2", "label")
 
 
-@query(r"""
-select doc_id, regexp_replace(text, '\b[0-9]+(?:\.[0-9]+){1,3}\b', 'an affected version', 'g') as restated from documents where regexp_matches(text, '\b[0-9]+(?:\.[0-9]+){1,3}\b') and not regexp_matches(text, '\w+::\w|\.(cc|cpp|cxx|c|h|hpp|mm|js|py|java)\b')""")
+_MASK_SQL = r"""
+with p as (select p_partkey, p_name || case p_partkey % 5 when 0 then ' before 47.0.2526.73 and 12.x.1' when 1 then ' in ns::Foo::bar() of src/a.cc, b.hpp' when 2 then ' in version 4.0' when 3 then ' on Windows' else '' end as t from part),
+m as (select *, regexp_matches(t, '{leaks}') as leaks from p),
+f as (select *, regexp_replace(t, '\b[\w./-]+\.(?:cc|cpp|cxx|c|hpp|hh|hxx|h|mm|m|java|js|ts|py|go|rs)\b', '<FILE>', 'g') as a from m),
+g as (select *, regexp_replace(regexp_replace(a, '\w+(?:::\w+)+(?:\(\))?', '<FUNC>', 'g'), '\b[0-9]+(?:\.(?:x|[0-9]+)){{1,4}}\b', '<SOFTWARE_VERSION>', 'g') as b from f)
+select p_partkey, leaks, case when leaks then replace(replace(replace(b, '<FILE>', 'a source file'), '<FUNC>', 'a function'), '<SOFTWARE_VERSION>', 'an affected version') else t end as restated from g"""
+
+
+@query(_MASK_SQL.format(leaks=C.LEAKS.replace("'", "''")))
 def mask_restate(spark, d):
     """L-3, X-15, P-22, P-23: masked by rules, placeholders then put in words."""
-    docs = _t(spark, d, "documents").select("doc_id", "text").where(F.col("text").rlike(r"\b[0-9]+(?:\.[0-9]+){1,3}\b") & ~F.col("text").rlike(r"\w+::\w|\.(cc|cpp|cxx|c|h|hpp|mm|js|py|java)\b"))
-    m = enrich.masked(docs, "text")
-    return m.select("doc_id", F.when(enrich.needs_call(F.col("has_leakage"), F.col("text_masked")), enrich.restated(F.col("text_masked"))).otherwise(F.col("text")).alias("restated"))
+    k = F.col("p_partkey") % 5
+    tail = F.when(k == 0, " before 47.0.2526.73 and 12.x.1").when(k == 1, " in ns::Foo::bar() of src/a.cc, b.hpp").when(k == 2, " in version 4.0").when(k == 3, " on Windows").otherwise("")
+    m = enrich.masked(_t(spark, d, "part").select("p_partkey", F.concat("p_name", tail).alias("text")), "text")
+    return m.select("p_partkey", F.col("has_leakage").alias("leaks"), F.when(enrich.needs_call(F.col("has_leakage"), F.col("text_masked")), enrich.restated(F.col("text_masked"))).otherwise(F.col("text")).alias("restated"))
 
 
 @query("""

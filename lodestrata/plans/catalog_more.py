@@ -6,30 +6,24 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import columns as C
 from lodestrata.operators import dedup, enrich, history, instances, merge
-from lodestrata.plans.catalog import _r, _t, _whole, query
+from lodestrata.plans.catalog import _r, _t, query
 from lodestrata.sources import readers, sinks
 
 
 @query("""
-with c as (select c_custkey, md5(c_name) as id from customer), l as (select c_custkey as link, upper(left(md5(c_name), 7 + (c_custkey % 9)::int)) as hash from customer where c_custkey % 10 = 0)
+with c as (select c_custkey, md5(c_name) as id from customer), l as (select c_custkey as link, upper(left(md5(c_name), 7 + (c_custkey % 9)::int)) as hash from customer)
 select link, c_custkey, id from l join c on left(id, least(length(hash), 12)) = left(lower(hash), least(length(hash), 12))""")
 def prefix_join(spark, d):
     """J-12, J-15: hashes that begin commit ids; an equi-join on the shortest prefix finds them."""
-    return _prefixes(spark, d, "c_custkey % 10 = 0")
+    return _prefixes(spark, d)
 
 
-def _prefixes(spark, d, some):
+def _prefixes(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", F.md5("c_name").alias("id"))
-    links = c.where(some).select(F.col("c_custkey").alias("link"), F.upper(F.expr("left(id, 7 + cast(c_custkey % 9 as int))")).alias("hash"))
+    links = c.select(F.col("c_custkey").alias("link"), F.upper(F.expr("left(id, 7 + cast(c_custkey % 9 as int))")).alias("hash"))
     return merge.hash_prefix_join(links, c).select("link", "c_custkey", "id")
 
 
-@query(_whole("prefix_join", (" where c_custkey % 10 = 0", "")))
-def prefix_join_whole(spark, d):
-    """J-12, J-15: the links of all customers; ``prefix_join`` has one in ten, as its SQL does."""
-    return _prefixes(spark, d, "true")
-
-
 @query("""
 select p_partkey % 50 as dir, 'p' || p_partkey || '.cc' as file, p_brand as content, p_type as parent_content from part where p_partkey % 3 <> 0 and p_partkey % 4 <> 0""")
 def version_pairs(spark, d):
@@ -104,19 +98,6 @@ def name_pairs(spark, d):
     return instances.name_pairs(_chains(spark, d), "root_cause_vulnerable")
 
 
-@query(
-    _CHANGED
-    + """,
-l as (select distinct k, name, case when q > 30 then 'root' else 'other' end as label from f where k % 40 = 0),
-n as (select name, label, k, (select count(distinct k) from l x where x.name = l.name and x.label = l.label) as c from l),
-m as (select k, name, case when c < 2 then 'other' else label end as label from n)
-select k, name, label from m where k in (select k from m where label <> 'other')"""
-)
-def singleton_relabel(spark, d):
-    """A-11: keys of one owner lose their label, owners without any go."""
-    return _relabel(_chains(spark, d).where("cve_id % 40 = 0"))
-
-
 def _relabel(chains):
     f = instances.changed_functions(chains)
     rows = f.select(F.col("cve_id").alias("k"), F.substring_index("sig", ":void", 1).alias("name"), F.when(F.col("classification") == "root_cause_vulnerable", "root").otherwise("other").alias("label")).distinct()
@@ -132,8 +113,8 @@ c as (select name, label, count(distinct k) as c from l group by name, label),
 m as (select k, name, case when c < 2 then 'other' else label end as label from l join c using (name, label))
 select k, name, label from m where k in (select k from m where label <> 'other')"""
 )
-def singleton_relabel_whole(spark, d):
-    """A-11: keys of one owner lose their label, over all chains; ``singleton_relabel`` takes one in 40, as its SQL does."""
+def singleton_relabel(spark, d):
+    """A-11: keys of one owner lose their label, owners without any go."""
     return _relabel(_chains(spark, d))
 
 
@@ -151,12 +132,12 @@ def label_likeness(spark, d):
 
 
 @query("""
-with o as (select o_orderkey as k, md5(o_orderkey::varchar) || '01234567' as h from orders where o_orderkey % 3 <> 0)
+with o as (select o_orderkey as k, md5(o_orderkey::varchar) || '01234567' as h from orders)
 select k, case k % 4 when 0 then h when 1 then (k % 100000)::varchar when 2 then h else '' end as hash,
   case k % 4 when 0 then 'git' when 1 then 'svn' when 2 then 'raw' else 'review' end as tag, case when k % 4 = 3 then (k % 1000)::varchar end as change from o""")
 def commit_extraction(spark, d):
     """X-3, X-4, X-7, SRC-13, A-4: commits that texts name behind their marks."""
-    o = _t(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("01234567")).alias("h"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("01234567")).alias("h"))
     k = F.col("k")
     git = F.concat(F.lit(f"x {C.REVISION_MARK}\n  https://chromium.googlesource.com/chromium/src.git/+/"), F.col("h"), F.lit(" done"))
     svn = F.concat(F.lit(f"{C.REVISION_MARK} http://src.chromium.org/viewvc/chrome?view=rev&revision="), (k % 100000).cast("string"))
@@ -169,24 +150,36 @@ def commit_extraction(spark, d):
 
 
 @query("""
-select o_orderkey, case when o_orderkey % 5 = 4 then -1 else o_custkey end as custkey, case when o_orderkey % 5 = 4 then 'no JSON' when o_orderkey % 5 = 3 then 'no placeholder' end as problem from orders""")
+select o_orderkey, case when o_orderkey % 10 = 9 then 'no JSON' when o_orderkey % 10 = 8 then 'no placeholder' when o_orderkey % 10 = 7 then 'missing keys: replacements' when o_orderkey % 10 = 6 then 'a replacement''s type is unknown' when o_orderkey % 10 = 5 then 'no replacement is left' end as problem,
+  case when o_orderkey % 10 < 4 then true when o_orderkey % 10 = 4 then false end as has_leakage, case when o_orderkey % 10 < 4 then 'in <FILE> of ' || o_custkey when o_orderkey % 10 = 4 then 'text ' || o_orderkey end as sanitized,
+  case when o_orderkey % 10 < 4 then 'FILE=f' || o_orderkey || '.cc' when o_orderkey % 10 = 4 then '' end as replaced from orders""")
 def json_answers(spark, d):
-    """X-16, L-2: JSON out of a model's answer, and why it is no good."""
-    k = F.col("o_orderkey") % 5
-    body = F.to_json(F.struct(F.lit(True).alias("has_leakage"), F.when(k == 3, "plain").otherwise("in [FILE]").alias("masked_text"), F.col("o_custkey").alias("custkey")))
-    answer = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here you are: "), body, F.lit(" Bye."))).when(k == 4, "I cannot {do} that").otherwise(body)
-    o = _t(spark, d, "orders").select("o_orderkey", answer.alias("answer"))
-    return o.select("o_orderkey", F.coalesce(F.try_variant_get(F.try_parse_json(C.json_in_answer(F.col("answer"))), "$.custkey", "long"), F.lit(-1)).alias("custkey"), enrich.mask_errors(F.col("answer")).alias("problem"))
+    """X-15, X-16, L-2: JSON out of a model's answer, checked and put in order, or why it is no good."""
+    k = F.col("o_orderkey") % 10
+    item = lambda type_, original: F.struct(F.lit(type_).alias("type"), original.alias("original"))
+    file = F.concat(F.lit(" f"), F.col("o_orderkey").cast("string"), F.lit(".cc"))
+    body = F.struct(
+        (k != 4).alias("has_leakage"),
+        F.when(k == 8, "plain").when(k == 4, F.lit(None)).otherwise(F.concat(F.lit(" in <FILE> of "), F.col("o_custkey").cast("string"))).alias("sanitized_desc"),
+        F.when(k == 7, F.lit(None)).when(k == 6, F.array(item("place", file))).when(k == 5, F.array(item("Method", file))).when(k == 4, F.array_except(F.array(item("path", file)), F.array(item("path", file)))).otherwise(F.array(item("path", file), item("func", file), item("FILE", file))).alias("replacements"),
+    )
+    json = F.when(k == 7, F.to_json(body, {"ignoreNullFields": "true"})).otherwise(F.to_json(body, {"ignoreNullFields": "false"}))
+    answer = F.when(k == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here you are: "), json, F.lit(" Bye."))).when(k == 9, "I cannot {do} that").otherwise(json)
+    o = _t(spark, d, "orders").select("o_orderkey", enrich.mask_answer(answer, F.concat(F.lit("text "), F.col("o_orderkey").cast("string"))).alias("m"))
+    return o.select("o_orderkey", "m.problem", "m.has_leakage", F.col("m.sanitized_desc").alias("sanitized"), F.array_join(F.transform("m.replacements", lambda x: F.concat_ws("=", x["type"], x["original"])), ";").alias("replaced"))
 
 
 @query("""
-select c_custkey, 'f' || c_nationkey || '.cc' as file, 'ns.f' || (c_custkey % 10) as sig from customer where c_custkey % 3 <> 2""")
+select c_custkey, case when c_custkey % 4 = 3 then '' else 'f' || c_nationkey || '.cc' end as file, 'ns.f' || (c_custkey % 10) as sig from customer where c_custkey % 4 <> 2""")
 def transcript_answers(spark, d):
-    """X-17, X-38, V-1: the last JSON of a transcript, its fields by any of their names."""
+    """X-17, X-38, V-1: the last JSON of a transcript that has the answer's key, its fields by any of their names."""
     c = _t(spark, d, "customer")
-    one = F.struct(F.concat(F.lit("f"), F.col("c_nationkey").cast("string"), F.lit(".cc")).alias("file_path"), F.concat(F.lit(" ns.f"), (F.col("c_custkey") % 10).cast("string")).alias("func_name"))
-    good = F.to_json(F.struct(F.array(one).alias("functions")))
-    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('I think {"functions": []}\n```json\n'), good, F.lit("\n```\nend"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('first {"functions": []} then '), good)).otherwise("nothing {here}")
+    k, sig = F.col("c_custkey") % 4, F.concat(F.lit("ns.f"), (F.col("c_custkey") % 10).cast("string"))
+    one = F.struct(F.when(k != 3, F.concat(F.lit("f"), F.col("c_nationkey").cast("string"), F.lit(".cc"))).alias("file"), F.when(k == 0, sig).when(k == 1, F.lit("")).alias("function_name"), F.when(k == 1, sig).alias("func_name"), F.when(k == 3, sig).alias("name"))
+    blank = F.struct(F.lit("x").alias("file"), F.lit("").alias("function_name"), F.lit(None).cast("string").alias("func_name"), F.lit(None).cast("string").alias("name"))
+    good = F.to_json(F.struct(F.array(one, blank).alias("vulnerable_functions")))
+    fenced = F.concat(F.lit('I think {"vulnerable_functions": []}\n```json\n'), good, F.lit('\n```\nand ```json\n{"other": 1}\n``` end'))
+    text = F.when(k == 0, fenced).when(k == 1, F.concat(F.lit('first {"vulnerable_functions": []} then '), good, F.lit(' {"a": 1}'))).when(k == 3, good).otherwise('nothing {here} {"functions": [{"name": "n"}]}')
     out = enrich.transcript_predictions(c.select("c_custkey", text.alias("text")), "text")
     return out.select("c_custkey", F.explode("predicted").alias("p")).select("c_custkey", "p.file", "p.sig")
 
@@ -251,14 +244,14 @@ def tree_listing(spark, d):
 
 
 _CHERRY = """
-with c as (select o_custkey as s, o_orderkey as k, md5(o_orderkey::varchar) || '89abcdef' as id, lag(md5(o_orderkey::varchar) || '89abcdef') over (partition by o_custkey order by o_orderkey) as prev from orders where o_custkey % 3 = 0),
+with c as (select o_custkey as s, o_orderkey as k, md5(o_orderkey::varchar) || '89abcdef' as id, lag(md5(o_orderkey::varchar) || '89abcdef') over (partition by o_custkey order by o_orderkey) as prev from orders),
 l as (select s, k, id, case when k % 2 = 0 then prev end as src from c)"""
 
 
-def _cherry(spark, d, some="o_custkey % 3 = 0"):
+def _cherry(spark, d):
     from pyspark.sql.window import Window
 
-    o = _t(spark, d, "orders").where(some).select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("pos"), F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("89abcdef")).alias("id"))
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("s"), F.col("o_orderkey").alias("pos"), F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("89abcdef")).alias("id"))
     prev = F.lag("id").over(Window.partitionBy("s").orderBy("pos"))
     return o.withColumn("prev", prev).select("s", "pos", "id", F.when((F.col("pos") % 2 == 0) & F.col("prev").isNotNull(), F.concat(F.lit("Merge\n(cherry picked from commit "), F.expr("left(prev, 10 + cast(pos % 31 as int))"), F.lit(")"))).otherwise("Fix").alias("message"))
 
@@ -274,12 +267,6 @@ def cherry_roots(spark, d):
     return history.cherry_roots(_cherry(spark, d), "s").select("s", "pos", "root")
 
 
-@query(_whole("cherry_roots", (" where o_custkey % 3 = 0", "")))
-def cherry_roots_whole(spark, d):
-    """G-3, J-15, X-5: the chains of all orders; ``cherry_roots`` has those of one customer in three, as its SQL does."""
-    return history.cherry_roots(_cherry(spark, d, "true"), "s").select("s", "pos", "root")
-
-
 @query("""
 with recursive c as (select p_partkey as k, md5(p_partkey::varchar) || '89abcdef' as hash, case when p_partkey % 5 <> 0 then md5((p_partkey // 2)::varchar) || '89abcdef' end as src from part),
 f(hash, depth) as (select hash, 0 from c where k % 97 = 0 union select c.src, depth + 1 from f join c using (hash) where src in (select hash from c) and depth < 30)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestrata.functions.columns import extension, language, squeeze
+from lodestrata.functions.columns import SOURCE, extension, is_test_path, language, squeeze
+from lodestrata.sources.shared import exists
 
 BAD = "_corrupt_record"
 
@@ -17,7 +18,9 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFra
     s = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     if BAD not in s.fieldNames():
         s = T.StructType([*s.fields, T.StructField(BAD, T.StringType())])
-    return spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    # by an expression: a scan of JSON files refuses to give the lines that did not parse alone
+    return lines.select(F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r")).select("r.*")
 
 
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,8 +70,10 @@ def catalog_roots(catalog: DataFrame, edges: DataFrame) -> DataFrame:
     return catalog.select(F.col("id").alias("node")).join(edges.select(F.col("child").alias("node")), "node", "left_anti")
 
 
-def ids(spark: SparkSession, path: str) -> DataFrame:
-    """White-space separated ids of text files, each once."""
+def ids(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """White-space separated ids of text files, each once; none where there is no such file, an error if ``strict``."""
+    if not strict and not exists(spark, path):
+        return spark.createDataFrame([], "id string")
     return spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("id")).where("id <> ''").distinct()
 
 
@@ -82,6 +87,21 @@ def files(spark: SparkSession, folder: str, extensions: list[str] | None = None)
     return out.where(F.col("extension").isin(extensions)) if extensions else out
 
 
+def sidecar_status(items: DataFrame, sidecars: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """``items`` with the JSON text of their sidecar and its status: found, missing, or error where it does not parse."""
+    side = sidecars.select(*keys, F.col(content).alias(content), F.lit(True).alias("there_"))
+    met = items.join(side, keys, "left")
+    ok = F.try_parse_json(content).isNotNull()
+    status = F.when(F.col("there_").isNull(), "missing").when(F.coalesce(ok, F.lit(False)), "found").otherwise("error")
+    return met.withColumn("status", status).withColumn(content, F.when(F.col("status") == "found", F.col(content))).drop("there_")
+
+
+def project_sources(listing: DataFrame, path: str = "path", with_tests: bool = True) -> DataFrame:
+    """C and C++ files of a listing; without ``with_tests`` those of test folders and named like tests are left out."""
+    out = listing.where(F.lower(extension(F.col(path))).isin(SOURCE))
+    return out if with_tests else out.where(~is_test_path(F.col(path)))
+
+
 def tree_listing(lines: DataFrame, extensions: list[str], deny: list[str]) -> DataFrame:
     """commit_id, file, blob_oid, lang from lines (commit_id, value) such as '100644 blob <oid>\\t<path>'."""
     oid, path = F.regexp_extract("value", r"^\d+ blob ([0-9a-f]+)\t", 1), F.regexp_extract("value", r"^\d+ blob [0-9a-f]+\t(.*)$", 1)

@@ -28,7 +28,3 @@ def append_new(spark: SparkSession, source: str, schema: str, sink: str, checkpo
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts by tumbling window; rows later than ``late`` behind the newest are dropped. Batch tables work as well."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")

@@ -93,7 +93,8 @@ def test_records_and_lists(spark):
 
 
 def test_test_signatures_and_macros(spark):
-    assert value(spark, C.is_test_signature(F.col("a")), a="ns.FooTest_Works_Test:void()") is True
+    assert value(spark, C.is_test_signature(F.col("a")), a="ns.FooTest_Works_Test::TestBody()") is True
+    assert value(spark, C.is_test_signature(F.col("a")), a="ns::Foo::SetUp()") is True
     assert value(spark, C.is_test_signature(F.col("a")), a="TEST_F(A,B)") is True
     assert value(spark, C.is_test_signature(F.col("a")), a="ns.Latest:int()") is False
     assert value(spark, C.without_class_macros(F.col("a")), a="class NET_EXPORT Foo { void f() LOCKS_EXCLUDED(x) { } };") == "class Foo { void f() { } };"

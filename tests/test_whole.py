@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestrata.operators import graph, history, retrieval
+from lodestrata.plans import catalog
 
 D = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
@@ -17,12 +18,12 @@ def run(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["dense_topk_whole", "hard_negatives_whole", "rank_metrics_whole"])
+@pytest.mark.parametrize("name", ["dense_topk", "hard_negatives", "rank_metrics"])
 def test_every_hundredth_vector_is_searched_for(spark, name):
     e = spark.read.parquet(f"{D}/embeddings.parquet")
     want = {r[0] for r in e.where("vec_id % 100 = 0").select("vec_id").collect()}
     got = {r[0] for r in run(spark, name).select("query").distinct().collect()}
-    assert got == want if name != "hard_negatives_whole" else got and got <= want
+    assert got == want if name != "hard_negatives" else got and got <= want
 
 
 def test_blocks_of_queries_give_the_same_scores(spark):
@@ -42,7 +43,7 @@ def test_singletons_are_counted_over_all_owners(spark):
         owners.setdefault((name, label), set()).add(k)
     marked = [(k, name, label if len(owners[name, label]) > 1 else "other") for k, name, label in rows]
     alive = {k for k, _, label in marked if label != "other"}
-    got = [tuple(r) for r in run(spark, "singleton_relabel_whole").select("k", "name", "label").collect()]
+    got = [tuple(r) for r in run(spark, "singleton_relabel").select("k", "name", "label").collect()]
     assert sorted(got) == sorted(m for m in marked if m[0] in alive)
     assert any(k % 40 for k, _, _ in got)
 
@@ -55,8 +56,8 @@ def test_functions_of_every_part_are_compared(spark):
 
 @tables
 def test_all_orders_and_customers_take_part(spark):
-    assert run(spark, "cherry_roots_whole").count() == spark.read.parquet(f"{D}/orders.parquet").count()
-    links = {r["link"] for r in run(spark, "prefix_join_whole").collect()}
+    assert run(spark, "cherry_roots").count() == spark.read.parquet(f"{D}/orders.parquet").count()
+    links = {r["link"] for r in run(spark, "prefix_join").collect()}
     assert links == {r[0] for r in spark.read.parquet(f"{D}/customer.parquet").select("c_custkey").collect()}
 
 
@@ -83,5 +84,5 @@ def test_a_tree_for_each_label(spark):
 
 @tables
 def test_votes_over_five_thousand_terms(spark):
-    few, many = (sorted(map(tuple, run(spark, n).collect())) for n in ("tfidf_knn_vote", "tfidf_knn_vote_whole"))
-    assert few != many
+    whole, few = (sorted(map(tuple, x.collect())) for x in (run(spark, "tfidf_knn_vote"), catalog._votes(spark, D, 2000)))
+    assert whole != few and whole == sorted(map(tuple, catalog._votes(spark, D, 5000).collect()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.columns import filled, let, same_file, same_function, stem
+from lodestrata.operators.split import counts_before
 
 CUTS = (1, 3, 5, 10)
 
@@ -151,10 +152,8 @@ def attach_truth(predictions: DataFrame, truth: DataFrame, keys: list[str], know
 
 
 def _average_rank(df: DataFrame, c: str) -> DataFrame:
-    """Ranks with ties averaged, from counts of distinct values: only those pass through one ordered window."""
-    counts = df.groupBy(c).agg(F.count("*").alias("n_"))
-    before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(F.col(c).alias("v_"), (F.coalesce(F.sum("n_").over(before), F.lit(0)) + (F.col("n_") + 1) / 2).alias(f"{c}_rank"))
+    """Ranks with ties averaged, from counts of distinct values."""
+    ranks = counts_before(df, c).select(F.col("value").alias("v_"), (F.col("skip") + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
     return df.join(ranks, df[c] == ranks["v_"]).drop("v_")
 
 

@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.columns import md5_shard
+from lodestrata.sources.shared import kept
 
 
-def global_rank(df: DataFrame, by: str, tie: list[str]) -> DataFrame:
-    """Row numbers over the whole table ordered by ``by`` (blank first), then ``tie``.
+def counts_before(df: DataFrame, by: str) -> DataFrame:
+    """Distinct values of ``by`` (value, null first), how many rows have each (n) and how many rows stand before it (skip).
 
-    Only counts of distinct ``by`` values pass through one ordered window; rows are numbered within their value.
+    Values are range-partitioned and written with the number of their range; ranges are summed to a row each, and only
+    those rows, as many as there are partitions, pass through one ordered window. No task sees more than its range.
     """
-    counts = df.groupBy(by).agg(F.count("*").alias("n_"))
-    before = Window.orderBy(F.col(by).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(by).alias("by_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("skip_"))
+    counts = df.groupBy(F.col(by).alias("value")).agg(F.count("*").alias("n"))
+    ranged = kept(counts.repartitionByRange(F.col("value").asc_nulls_first()).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("range").agg(F.sum("n").alias("n_range")).select("range", F.coalesce(F.sum("n_range").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("range").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(ranges), "range").select("value", "n", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("skip"))
+
+
+def global_rank(df: DataFrame, by: str, tie: list[str]) -> DataFrame:
+    """Row numbers over the whole table ordered by ``by`` (blank first), then ``tie``; rows are numbered within their value."""
+    offsets = counts_before(df, by).select(F.col("value").alias("by_"), F.col("skip").alias("skip_"))
     inside = Window.partitionBy(by).orderBy(*[F.col(t).asc() for t in tie])
     met = df.withColumn("nth_", F.row_number().over(inside)).join(offsets, df[by].eqNullSafe(offsets["by_"]))
     return met.withColumn("rank", F.col("nth_") + F.col("skip_")).drop("nth_", "skip_", "by_")

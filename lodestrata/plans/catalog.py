@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import columns as C
 from lodestrata.operators import code, dedup, enrich, graph, instances, merge, metrics, retrieval, split
 from lodestrata.sources import readers, sinks
+from lodestrata.sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -446,6 +447,7 @@ def _votes(spark, d, terms):
     labels = _t(spark, d, "labels").withColumn("item", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")))
     docs = _t(spark, d, "documents").join(labels, "doc_id").select(F.col("doc_id").alias("doc"), "lang", "text")
     v = retrieval.tfidf_vectors(docs, ["lang"], "doc", C.identifier_tokens(F.lower("text")), terms)
+    v = kept(v, "vectors")  # read as neighbours and as queries
     items = labels.select(F.col("doc_id").alias("doc"), "item")
     return retrieval.knn_vote(v.where("doc % 20 <> 0"), v.where("doc % 20 = 0"), ["lang"], items).select("query", "item", "score", "rank")
 

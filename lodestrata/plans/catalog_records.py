@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import columns as C
-from lodestrata.operators import enrich, merge, metrics, split
+from lodestrata.operators import code, dedup, enrich, history, merge, metrics, retrieval, split
 from lodestrata.plans.catalog import _r, _t, query
 from lodestrata.sources import readers, sinks
 from lodestrata.sources.shared import new_folder
@@ -476,3 +476,86 @@ def loose_metrics(spark, d):
         F.collect_list(pair(F.col("l_suppkey") % 5)).alias("known"),
     )
     return metrics.loose_metrics(rows).select("k", *[_r(F.col(c)).alias(c) for c in ("hit_3", "precision_3", "recall_5", "mrr")])
+
+
+# --- histories, spans, negatives -----------------------------------------------------------------------------------
+
+
+@query("""
+with t as (select distinct l_partkey % 300 as f, l_orderkey as id from lineitem where l_linenumber <= 2)
+select f, string_agg(id || ':' || o_orderpriority, ',' order by o_orderkey) as touches from t join orders on o_orderkey = id where o_orderkey % 3 <> 0 group by f""")
+def touch_lists(spark, d):
+    """J-13: the commits that touched a function, in order, with their messages."""
+    li = _t(spark, d, "lineitem").where("l_linenumber <= 2").select((F.col("l_partkey") % 300).alias("f"), F.col("l_orderkey").alias("commit_id"))
+    commits = _t(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("message"))
+    out = history.touches(li, commits, ["f"])
+    return out.select("f", F.array_join(F.transform("touches", lambda x: F.concat_ws(":", x["id"], x["message"])), ",").alias("touches"))
+
+
+@query("""
+with l as (select o_custkey as k, o_orderkey as pos, 'u' || (o_orderkey % 400) as url, case when o_orderkey % 3 = 0 then 'h' || o_orderkey end as hash from orders), r as (select 'u' || p_partkey as url, 'r' || p_partkey as hash from part where p_partkey % 2 = 0 and p_partkey < 400),
+g as (select k, string_agg(l.url || '=' || coalesce(l.hash, r.hash, '?'), ',' order by pos) as links from l left join r using (url) group by k)
+select c_custkey as k, coalesce(links, '') as links from customer left join g on k = c_custkey""")
+def review_links(spark, d):
+    """J-34: links without a hash take what was resolved for their URL, in place."""
+    o = _t(spark, d, "orders")
+    one = F.struct(F.concat(F.lit("u"), _text(F.col("o_orderkey") % 400)).alias("url"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("h"), _text(F.col("o_orderkey")))).alias("hash"))
+    links = o.groupBy(F.col("o_custkey").alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", one.alias("l")))), lambda x: x["l"]).alias("links"))
+    records = _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).join(links, "k", "left")
+    resolved = _t(spark, d, "part").where("p_partkey % 2 = 0 and p_partkey < 400").select(F.concat(F.lit("u"), _text(F.col("p_partkey"))).alias("url"), F.concat(F.lit("r"), _text(F.col("p_partkey"))).alias("hash"))
+    out = history.fill_links(records, "k", "links", resolved)
+    return out.select("k", F.array_join(F.transform("links", lambda x: F.concat_ws("=", x["url"], F.coalesce(x["hash"], F.lit("?")))), ",").alias("links"))
+
+
+@query("""
+with r as (select o_custkey as k, o_orderkey as pos, 'u' || (o_orderkey % 3) as url, case when o_orderkey % 2 = 0 then 'H' else 'h' end || (o_orderkey % 5) as hash from orders),
+a as (select * from r qualify row_number() over (partition by k, url, hash order by pos) = 1)
+select k, pos, url, hash from a qualify row_number() over (partition by k, lower(hash) order by pos) = 1""")
+def link_dedup(spark, d):
+    """U-5, U-8: links once by URL and hash, then by hash whatever its case."""
+    r = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("u"), _text(F.col("o_orderkey") % 3)).alias("url"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "H").otherwise("h"), _text(F.col("o_orderkey") % 5)).alias("hash"))
+    once = dedup.first_by(r, ["k", "url", "hash"], [F.col("pos")])
+    return dedup.first_by(once.withColumn("low", F.lower("hash")), ["k", "low"], [F.col("pos")]).select("k", "pos", "url", "hash")
+
+
+@query("""
+with s as (select p_partkey % 100 as f, 's' || p_partkey as sig, p_size as a, p_size + 3 * (1 + p_partkey % 7) as b from part),
+l as (select distinct s_suppkey % 100 as f, 1 + s_suppkey % 45 as line from supplier)
+select f, line, arg_min(sig, (b - a, a, sig)) as sig from l join s using (f) where line between a and b group by f, line""")
+def enclosing_spans(spark, d):
+    """T-10: the smallest span of a file that holds a line."""
+    key = F.col("p_partkey")
+    spans = _t(spark, d, "part").select((key % 100).alias("f"), F.concat(F.lit("s"), _text(key)).alias("sig"), F.col("p_size").cast("long").alias("line_start"), (F.col("p_size") + 3 * (1 + key % 7)).alias("line_end"))
+    points = _t(spark, d, "supplier").select((F.col("s_suppkey") % 100).alias("f"), (1 + F.col("s_suppkey") % 45).alias("line")).distinct()
+    return code.enclosing(points, spans, ["f"]).select("f", "line", "sig")
+
+
+@query("""
+with t as (select distinct l_orderkey as q, l_partkey % 20 as file, l_suppkey % 8 as sig from lineitem where l_linenumber <= 2),
+f as (select distinct p_partkey % 20 as file, p_size % 8 as sig from part), n as (select vec_id, label from embeddings),
+pool as (select q, 'same_file' as pool, f.file, f.sig, 0::double as ord from (select distinct q, file from t) x join f using (file)
+  union all select l_orderkey, 'ranked', l_partkey % 20, l_suppkey % 8, -max(l_quantity) as ord from lineitem where l_quantity > 20 group by 1, 3, 4)
+select q, pool, row_number() over (partition by q, pool order by ord, file, sig)::int as nth, file, sig from pool anti join t using (q, file, sig) qualify nth <= case pool when 'ranked' then 2 else 3 end""")
+def mined_negatives(spark, d):
+    """I-9, J-21: functions of the same file and ranked ones, without what the record knows, each within its budget."""
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_partkey") % 20).alias("file"), (F.col("l_suppkey") % 8).alias("sig"), "l_linenumber", "l_quantity")
+    truth = li.where("l_linenumber <= 2").select("q", "file", "sig").distinct()
+    funcs = _t(spark, d, "part").select((F.col("p_partkey") % 20).alias("file"), (F.col("p_size") % 8).cast("long").alias("sig")).distinct()
+    same = truth.select("q", "file").distinct().join(funcs, "file").withColumn("at", F.lit(0.0))
+    ranked = li.where("l_quantity > 20").groupBy("q", "file", "sig").agg((-F.max("l_quantity")).alias("at"))  # above the least similarity
+    return retrieval.mixed_negatives({"same_file": (same, 3), "ranked": (ranked, 2)}, truth, ["q"], ["file", "sig"]).select("q", "pool", "nth", "file", "sig")
+
+
+@query("""
+select w.l_orderkey as k, w.l_linenumber as n, e.vec_id, round(e.embedding[1]::double, 6) as first from (select distinct l_orderkey, l_linenumber, l_partkey % 5000 as oid from lineitem) w join embeddings e on e.vec_id = w.oid""")
+def vector_lookup(spark, d):
+    """J-24: vectors by their key; rows without one go."""
+    w = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 5000).alias("vec_id")).distinct()
+    return w.join(_t(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("first")), "vec_id").select("k", "n", "vec_id", _r(F.col("first")).alias("first"))
+
+
+@query("""
+select p_partkey as k, p_name as name from part where p_brand in ('Brand#11', 'Brand#12', 'Brand#1', 'Brand#2') order by p_partkey limit 20""")
+def work_subset(spark, d):
+    """P-26: named instances alone, the first twenty of them: the limit is the feature."""
+    return _t(spark, d, "part").where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#1", "Brand#2")).orderBy("p_partkey").limit(20).select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))

@@ -39,8 +39,9 @@ SKETCHES = 20
 PER_SKETCH = 3
 #: Words of a cell's members in one comparison block, about.
 BLOCK_WORDS = 200_000
-#: Pairs of one head, and edges of one node, that are joined in one slice, about.
+#: A key's rows are joined in slices of so many rows, or of as many as keep the sliced keys fewer than HOT_KEYS.
 SLICE_PAIRS = 500
+HOT_KEYS = 10_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -233,38 +234,51 @@ def _block(k: int, threshold: float):
     return run
 
 
-def _slices(rows: DataFrame, key: str) -> DataFrame:
-    """key, slices: keys with more than SLICE_PAIRS rows, and how many slices they take."""
-    n = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > SLICE_PAIRS)
-    return n.select(key, F.ceil(F.col("n") / SLICE_PAIRS).cast("int").alias("slices"))
+def _least(rows: int) -> int:
+    """Rows of one key in a slice, about: no more than HOT_KEYS keys can have more than this of ``rows``."""
+    return max(SLICE_PAIRS, rows // HOT_KEYS)
 
 
-def _copies(rows: DataFrame, key: str, slices: DataFrame) -> DataFrame:
+def _slices(rows: DataFrame, key: list[str], counted: Column | None = None) -> DataFrame:
+    """key, slices: the keys with too many rows for one task, fewer than HOT_KEYS, and how many slices they take.
+
+    ``rows`` is a written table; with ``counted`` it has a row for each key and that many rows stand behind it.
+    """
+    total = rows.count() if counted is None else rows.agg(F.coalesce(F.sum(counted), F.lit(0))).first()[0]
+    n = rows.groupBy(*key).agg(F.count("*").alias("n_")) if counted is None else rows.select(*key, counted.alias("n_"))
+    return materialise(n.where(F.col("n_") > _least(total)).select(*key, F.ceil(F.col("n_") / _least(total)).cast("int").alias("slices")), "slices")
+
+
+def _copies(rows: DataFrame, key: list[str], slices: DataFrame) -> DataFrame:
     """``rows``, those of sliced keys once for each slice."""
-    return rows.join(slices, key, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+    met = rows.join(F.broadcast(slices), key, "left")  # fewer than HOT_KEYS rows
+    return met.withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
 
 
-def _sliced(rows: DataFrame, key: str, by: str, slices: DataFrame) -> DataFrame:
+def _sliced(rows: DataFrame, key: list[str], by: str, slices: DataFrame) -> DataFrame:
     """``rows`` with the slice that each belongs to."""
-    return rows.join(slices, key, "left").withColumn("slice", F.pmod(F.xxhash64(by), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    met = rows.join(F.broadcast(slices), key, "left")  # fewer than HOT_KEYS rows
+    return met.withColumn("slice", F.pmod(F.xxhash64(by), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+
+
+def _sliced_join(rows: DataFrame, table: DataFrame, key: list[str], by: str, slices: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` with what ``table`` (a row for each key) has for their key; keys with many rows meet it slice by slice."""
+    return _sliced(rows, key, by, slices).join(_copies(table, key, slices), [*key, "slice"], how).drop("slice")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, grp (smallest node of its connected component) for each node of ``links`` (a, b)."""
-    edges = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
-    edges = materialise(edges, "edges")
-    slices = materialise(_slices(edges, "b"), "slices")  # the other ends of nodes with many edges are found in slices
-    edges = materialise(_sliced(edges, "b", "a", slices), "sliced_edges")
+    edges = materialise(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    busy = _slices(edges, ["b"])  # the label of a node with many edges is looked up in slices
     label = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("grp")), "labels")
     while True:
-        ends = _copies(label.select(F.col("node").alias("b"), "grp"), "b", slices)
-        of_next = edges.join(ends, ["b", "slice"]).groupBy("a").agg(F.min("grp").alias("low"))
+        ends = label.select(F.col("node").alias("b"), "grp")
+        of_next = _sliced_join(edges, ends, ["b"], "a", busy, "inner").groupBy("a").agg(F.min("grp").alias("low"))
         hooked = label.join(of_next.withColumnRenamed("a", "node"), "node").select("node", F.col("grp").alias("old"), F.least("grp", "low").alias("grp"))
-        roots = hooked.groupBy("grp").agg(F.count("*").alias("n"))  # a group's root is looked up once, not by each member
-        roots = roots.join(label.select(F.col("node").alias("grp"), F.col("grp").alias("root")), "grp").where("root < grp").select("grp", "root", "n")
-        many = roots.where(F.col("n") > SLICE_PAIRS).select("grp", F.ceil(F.col("n") / SLICE_PAIRS).cast("int").alias("slices"))
-        moved = _sliced(hooked, "grp", "node", many).join(_copies(roots.drop("n"), "grp", many), ["grp", "slice"], "left")
-        moved = materialise(moved.select("node", "old", F.coalesce("root", "grp").alias("grp")), "labels")
+        hooked = materialise(hooked, "hooked")
+        roots = label.select(F.col("node").alias("grp"), F.col("grp").alias("root"))
+        moved = _sliced_join(hooked, roots, ["grp"], "node", _slices(hooked, ["grp"]))
+        moved = materialise(moved.select("node", "old", F.least("grp", F.coalesce("root", "grp")).alias("grp")), "labels")
         label = moved.select("node", "grp")
         if moved.where("old <> grp").isEmpty():
             return label
@@ -278,23 +292,24 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     hashed = own.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), word_hashes(F.col("text")).alias("words"))
     with small_batches(docs.sparkSession):
         rows = materialise(hashed.mapInArrow(_sketches(words, sketches), "doc_id long, h1 long, h2 long, n int, keys array<long>"), "sketches")
-    classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("cls"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+    classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("cls"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
     classes = materialise(classes, "classes")
     usable = classes.where("cls is not null")
 
     members = usable.select("cls", "n", F.posexplode("keys").alias("band", "key"))
     least = members.groupBy("band", "key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    least = least.select("band", "key", "m", F.col("head.cls").alias("head"), F.col("head.n").alias("head_n"))
-    buckets = materialise(members.join(least, ["band", "key"]), "buckets")
+    least = materialise(least.select("band", "key", "m", F.col("head.cls").alias("head"), F.col("head.n").alias("head_n")), "heads")
+    full = _slices(least, ["band", "key"], F.col("m"))  # buckets of many texts are joined in slices
+    buckets = materialise(_sliced_join(members, least, ["band", "key"], "cls", full, "inner"), "buckets")
     star = buckets.where(F.col("cls") != F.col("head")).where(F.least("n", "head_n") >= threshold * F.greatest("n", "head_n"))
     pairs = materialise(star.select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
 
     involved = buckets.select("cls").distinct()
     texts = own.join(involved, own["doc_id"] == involved["cls"]).groupBy("cls").agg(F.min("text").alias("text"))
     texts = materialise(texts, "texts")
-    heads = materialise(_slices(pairs, "b"), "heads")
-    head_texts = _copies(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).join(pairs.select("b").distinct(), "b", "left_semi"), "b", heads)
-    both = _sliced(pairs, "b", "a", heads).join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(head_texts, ["b", "slice"])
+    head_texts = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).join(pairs.select("b").distinct(), "b", "left_semi")
+    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    both = _sliced_join(both, head_texts, ["b"], "a", _slices(pairs, ["b"]), "inner")
     both = both.select("a", "b", word_hashes(F.col("text_a")).alias("x"), word_hashes(F.col("text_b")).alias("y"))
     with small_batches(docs.sparkSession):
         links = materialise(both.mapInArrow(_verify(words, threshold), "a long, b long"), "links")
@@ -302,13 +317,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     groups = components(links)
     grouped = buckets.where("m > 2").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     head_groups = groups.select(F.col("node").alias("head"), F.col("grp").alias("head_grp"))
-    grouped = grouped.join(head_groups, "head", "left").withColumn("head_grp", F.coalesce("head_grp", "head"))
+    grouped = _sliced_join(grouped, head_groups, ["head"], "cls", _slices(buckets, ["head"])).withColumn("head_grp", F.coalesce("head_grp", "head"))
     grouped = materialise(grouped.withColumn("out", F.col("grp") != F.col("head_grp")), "grouped")
     # lengths further apart than the threshold never link: members meet in cells of alike length
     cell = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / (threshold - 0.01)))).cast("int")
     grouped = grouped.select("band", "key", "cls", "grp", "out", "n", cell.alias("own_cell"))
     open_ = grouped.where("out").select("band", "key").distinct()
-    again = grouped.join(open_, ["band", "key"])  # the head as well: its cell may hold members of other groups
+    again = _sliced_join(grouped, open_, ["band", "key"], "cls", full, "inner")  # the head as well: its cell may hold members of other groups
     right = again.withColumn("cell", F.col("own_cell"))
     left = again.where("out").withColumn("cell", F.explode(F.array(F.col("own_cell") - 1, F.col("own_cell"), F.col("own_cell") + 1)))
     both_sides = materialise(left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False))).drop("own_cell"), "cells")
@@ -317,7 +332,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     cells = cells.where("u > 0 and `all` > 0 and g0 < g1").select("band", "key", "cell", F.ceil(F.col("u") / BLOCK_WORDS).cast("int").alias("left_blocks"), F.ceil(F.col("all") / BLOCK_WORDS).cast("int").alias("blocks"))
     cells = materialise(cells, "open_cells")
     if not cells.isEmpty():
-        met = both_sides.join(cells, ["band", "key", "cell"])
+        met = _sliced_join(both_sides, cells, ["band", "key", "cell"], "cls", _slices(both_sides, ["band", "key", "cell"]), "inner")
         mine = lambda n: F.pmod(F.xxhash64("cls", "band"), F.col(n)).cast("int")
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         met = met.withColumn("lb", F.explode(F.when(F.col("is_left"), F.array(mine("left_blocks"))).otherwise(every("left_blocks"))))
@@ -330,10 +345,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
         merged = None
 
     by_text = classes.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    by_text = by_text.select("h1", "h2", "cls", "rows", "grp")
     if merged is not None:
-        by_text = by_text.join(merged, "grp", "left").withColumn("grp", F.coalesce("whole", "grp"))
+        by_text = materialise(by_text, "by_text")
+        by_text = _sliced_join(by_text, merged, ["grp"], "cls", _slices(by_text, ["grp"])).withColumn("grp", F.coalesce("whole", "grp"))
     by_text = by_text.select("h1", "h2", F.col("cls").alias("text_class"), F.col("grp").alias("class_id"))
-    return rows.select("doc_id", "h1", "h2").join(by_text, ["h1", "h2"]).select("doc_id", "text_class", "class_id")
+    copies = _slices(classes, ["h1", "h2"], F.col("rows"))  # a text with many copies meets its class in slices
+    return _sliced_join(rows.select("doc_id", "h1", "h2"), by_text, ["h1", "h2"], "doc_id", copies).select("doc_id", "text_class", "class_id")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:

@@ -8,10 +8,15 @@ Documents are dealt to batches by a hash. A batch explodes its n-grams, keeps ea
 sends them to the count table, which is partitioned by n-gram hash: one packed row for each batch and partition. There
 the counts of all batches are summed and joined to what each batch asked for; the answers return to the batch, which
 sums its documents. A frequent n-gram is one entry per batch, so no partition gathers a hot key's occurrences. The
-number of batches and partitions follows the corpus' size, so that both stay of bounded size.
-
-Defined results: a null, empty or blank text has no words, score 0.0 and mean score null. Repeated rows count and
-are scored each. An empty table gives no rows. N-grams are told apart by 64-bit hashes. Extra columns do not matter.
+number of batches and partitions follows the corpus' size, so that both stay of bounded size. A batch sends a row only to
+partitions that it has n-grams for, so there are never more rows than distinct n-grams of batches: at worst the rows of
+an exploded table, which grow with the corpus. Packing is what keeps the exchange within the disk that exploded rows
+(n-gram, document, count) would take several times over; README has the figures.
+
+Defined results: a null, empty or blank text has no words, score 0.0 and mean score null. Repeated rows, rows that share
+a doc_id and rows with a null one count and are scored each. There are no ties to break: sums do not depend on order but
+for the last digits of a double. A very long text is one row of its batch. An empty table gives no rows. N-grams are told
+apart by 64-bit hashes. Extra columns do not matter.
 """
 
 from __future__ import annotations

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.sources.shared import kept as materialise  # noqa: F401  used by the operators
+
 #: ASCII white space as the contracts define it: space and \x09-\x0D.
 SPACE = "[\\x20\\x09-\\x0D]"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
@@ -22,17 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 _shipped: set[str] = set()
 
 
@@ -52,31 +41,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001, S110  the JVM may have ended first
-            pass
-    _written.clear()
-
-
-atexit.register(_clean)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of at most so many rows for what runs inside: long texts stay within a task's memory."""

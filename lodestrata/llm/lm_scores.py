@@ -1,17 +1,15 @@
-"""LM scoring: stupid-backoff scores of whole documents from n-gram counts of all documents.
+"""LM scoring: stupid-backoff scores of whole documents from n-gram counts of all documents, computed relationally.
 
 Words are runs without space and \\x09-\\x0D. A word's score after the word before it is c(v w) / c(v) where the pair
 occurs at least ``MIN_PAIRS`` times in the corpus, else ``ALPHA`` c(w) / N; a text's first word has c(w) / N. The
 document's score is the sum of natural logarithms.
 
-Documents are dealt to batches by a hash. A batch explodes its n-grams, keeps each distinct one with its count, and
-sends them to the count table, which is partitioned by n-gram hash: one packed row for each batch and partition. There
-the counts of all batches are summed and joined to what each batch asked for; the answers return to the batch, which
-sums its documents. A frequent n-gram is one entry per batch, so no partition gathers a hot key's occurrences. The
-number of batches and partitions follows the corpus' size, so that both stay of bounded size. A batch sends a row only to
-partitions that it has n-grams for, so there are never more rows than distinct n-grams of batches: at worst the rows of
-an exploded table, which grow with the corpus. Packing is what keeps the exchange within the disk that exploded rows
-(n-gram, document, count) would take several times over; README has the figures.
+Documents are dealt to batches of about ``BATCH_CHARS`` characters by a hash. Their n-grams are exploded into rows and
+counted within their batch, which is the partial sum before the exchange and the salt of frequent n-grams: one has at
+most a row for each batch. These rows are partitioned by n-gram hash, where the counts of all batches are summed; counts
+of one are implied and go no further. The counts that a batch has n-grams for are partitioned by batch, where its
+exploded n-grams already are, so that the join to them moves no n-gram, and sums by document stay in the task. Rows
+exchanged grow with the corpus: the texts once, and distinct n-grams of batches, twice at most.
 
 Defined results: a null, empty or blank text has no words, score 0.0 and mean score null. Repeated rows, rows that share
 a doc_id and rows with a null one count and are scored each. There are no ties to break: sums do not depend on order but
@@ -21,151 +19,78 @@ apart by 64-bit hashes. Extra columns do not matter.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ship
-from .near_dedup import _lists, word_hashes
+from .common import let, materialise
+from .near_dedup import word_hashes
 
 ALPHA = 0.4
 MIN_PAIRS = 2
-#: Characters of text in a batch, and behind a partition of the count table, about.
-BATCH_CHARS = 6_000_000
-TABLE_CHARS = 12_000_000
-#: Counts from here on are sent as eight bytes, others as one.
-LARGE = 255
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _B
-    return h ^ (h >> np.uint64(31))
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps of seven bytes, behind a byte that tells so; as they are where a step is too large."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    if len(keys) and int(steps.max()) < 1 << 56:
-        return b"\x07" + steps.astype("<u8").view("u1").reshape(-1, 8)[:, :7].tobytes()
-    return b"\x08" + keys.astype("<u8").tobytes()
-
-
-def _unpack_keys(packed: bytes) -> np.ndarray:
-    if packed[0] == 8:
-        return np.frombuffer(packed, "<u8", offset=1)
-    steps = np.frombuffer(packed, "u1", offset=1).reshape(-1, 7)
-    whole = np.zeros((len(steps), 8), "u1")
-    whole[:, :7] = steps
-    return np.cumsum(whole.view("<u8").ravel(), dtype=np.uint64)
-
-
-def _pack_counts(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Most counts are small: one byte each, those from LARGE on apart."""
-    return np.minimum(counts, LARGE).astype("u1").tobytes(), counts[counts >= LARGE].astype("<u8").tobytes()
-
-
-def _unpack_counts(small: bytes, large: bytes) -> np.ndarray:
-    counts = np.frombuffer(small, "u1").astype(np.int64)
-    counts[counts == LARGE] = np.frombuffer(large, "<u8").astype(np.int64)
-    return counts
-
-
-def _grams(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: words per document, hash of each word, hash of each pair, and where pairs end among the words."""
-    lists = docs.column("words").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    per = list(_lists(lists))
-    sizes = np.array([len(x) for x in per], np.int64)
-    words = np.concatenate(per).view(np.uint64) if len(per) else np.zeros(0, np.uint64)
-    first = np.zeros(len(words), bool)
-    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    at = np.flatnonzero(~first)
-    return sizes, _mix(words + np.uint64(11)), _mix(_mix(words[at - 1] * _A) + words[at]), at
-
-
-def _ask(n_tables: int):
-    def run(docs: pa.Table) -> pa.Table:
-        _, words, pairs, _ = _grams(docs)
-        keys, counts = np.unique(np.concatenate([words, pairs]), return_counts=True)
-        table = (keys % np.uint64(n_tables)).astype(np.int64)
-        order = np.argsort(table, kind="stable")
-        ends = np.searchsorted(table[order], np.arange(n_tables + 1))
-        used = np.flatnonzero(np.diff(ends))
-        batch = docs.column("batch")[0].as_py()
-        packed = [_pack_counts(counts[order[ends[t] : ends[t + 1]]]) for t in used]
-        return pa.table(
-            {
-                "tab": pa.array(used, pa.int32()),
-                "batch": pa.array([batch] * len(used), pa.int32()),
-                "keys": pa.array([_pack_keys(keys[order[ends[t] : ends[t + 1]]]) for t in used], pa.binary()),
-                "counts": pa.array([c for c, _ in packed], pa.binary()),
-                "large": pa.array([x for _, x in packed], pa.binary()),
-            }
-        )
-
-    return run
-
-
-def _count(asked: pa.Table) -> pa.Table:
-    """The count table's partition: sums each n-gram over batches and answers each batch in its own order."""
-    batches = asked.column("batch").to_pylist()
-    keys = [_unpack_keys(x) for x in asked.column("keys").to_pylist()]
-    counts = [_unpack_counts(*x) for x in zip(asked.column("counts").to_pylist(), asked.column("large").to_pylist(), strict=True)]
-    known, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(known), np.int64)
-    np.add.at(total, where, np.concatenate(counts))
-    answers, at = total[where], np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    parts = [_pack_counts(answers[at[i] : at[i + 1]]) for i in range(len(batches))]
-    return pa.table(
-        {
-            "batch": pa.array(batches, pa.int32()),
-            "tab": pa.array([asked.column("tab")[0].as_py()] * len(batches), pa.int32()),
-            "totals": pa.array([c for c, _ in parts], pa.binary()),
-            "large": pa.array([x for _, x in parts], pa.binary()),
-        }
-    )
+#: Characters of text in a batch, about.
+BATCH_CHARS = 24_000_000
+
+
+@contextmanager
+def _joined_where_they_are(spark: SparkSession) -> Iterator[None]:
+    """Tables partitioned by some of the join's keys are joined without another exchange, for what is planned inside."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def _score(n_tables: int, n_words: int, alpha: float, min_pairs: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        sizes, words, pairs, at = _grams(docs)
-        keys = np.unique(np.concatenate([words, pairs]))
-        order = np.argsort((keys % np.uint64(n_tables)).astype(np.int64), kind="stable")
-        told = sorted(zip(*(answers.column(c).to_pylist() for c in ("tab", "totals", "large")), strict=True))
-        total = np.empty(len(keys), np.int64)
-        total[order] = _unpack_counts(b"".join(x for _, x, _ in told), b"".join(x for _, _, x in told))
-        c1 = total[np.searchsorted(keys, words)].astype(float)
-        c2 = total[np.searchsorted(keys, pairs)].astype(float)
-        s = np.log(c1) - np.log(max(n_words, 1))
-        seen = c2 >= min_pairs
-        s[at] = np.where(seen, np.log(c2) - np.log(c1[at - 1]), np.log(alpha) + s[at])
-        begin = np.cumsum(sizes) - sizes
-        backed = np.zeros(len(words), np.int64)
-        backed[at] = ~seen
-        score, back, full = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), sizes > 0
-        if full.any():
-            score[full] = np.add.reduceat(s, begin[full])
-            back[full] = np.add.reduceat(backed, begin[full])
-        mean = pa.array(score / np.maximum(sizes, 1), mask=~full)
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(sizes), "n_backoff": pa.array(back), "log_score": pa.array(score), "mean_log_score": mean})
-
-    return run
+def _pairs(words: Column) -> Column:
+    """(v, w) of each word with the one before it, which is null for the first."""
+    return F.transform(words, lambda w, i: F.struct(F.when(i > 0, F.get(words, i - 1)).alias("v"), w.alias("w")))
+
+
+def _totals(each: DataFrame, key: str, least: int, n_tables: int, n_batches: int) -> DataFrame:
+    """batch, ``key`` and total: the corpus' counts, from ``least`` on, of the n-grams that each batch has."""
+    counted = each.groupBy("batch", key).agg(F.count("*").alias("n")).repartition(n_tables, key)
+    totals = counted.withColumn("total", F.sum("n").over(Window.partitionBy(key))).where(F.col("total") >= least)
+    return totals.select("batch", key, "total").repartition(n_batches, "batch")
 
 
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score and mean_log_score of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")).alias("words")).first()
-    chars, n_words = size["chars"] or 0, size["words"] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_batches, n_tables = max(least, chars // BATCH_CHARS + 1), max(least, chars // TABLE_CHARS + 1)
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int")).repartition("batch")
-    hashed = dealt.select("batch", "doc_id", word_hashes(F.col("text")).alias("words"))
-    asked = hashed.groupBy("batch").applyInArrow(_ask(n_tables), "tab int, batch int, keys binary, counts binary, large binary")
-    answers = asked.groupBy("tab").applyInArrow(_count, "batch int, tab int, totals binary, large binary")
-    scored = hashed.groupBy("batch").cogroup(answers.groupBy("batch"))
-    return scored.applyInArrow(_score(n_tables, n_words, alpha, min_pairs), "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
+    n_batches, n_words = max(spark.sparkContext.defaultParallelism, (size["chars"] or 0) // BATCH_CHARS + 1), max(size["words"] or 0, 1)
+    n_tables = max(n_batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the id stands before its text in one column, and rows without words are no filter, so that all uses of the dealt
+    # texts are one exchange
+    line = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text").alias("line")
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int").alias("batch")
+    dealt = rows.select(batch, line).repartition(n_batches, "batch")
+    words = word_hashes(F.expr("substr(line, instr(line, '\n') + 1)"))
+    hashed = dealt.select("batch", "line", let(words, _pairs).alias("grams"))
+    each = hashed.select("batch", F.explode_outer("grams").alias("g")).select("batch", "g.v", "g.w", F.xxhash64("g.v", "g.w").alias("h"))
+    ones = _totals(each.where("w is not null").select("batch", F.col("w").alias("u")), "u", 2, n_tables, n_batches)
+    twos = _totals(each.where("v is not null").select("batch", "h"), "h", min_pairs, n_tables, n_batches)
+
+    numbered = hashed.select("batch", F.monotonically_increasing_id().alias("row"), F.substring_index("line", "\n", 1).cast("long").alias("doc_id"), "grams")
+    grams = numbered.select("batch", "row", "doc_id", F.explode_outer("grams").alias("g")).select("batch", "row", "doc_id", "g.v", "g.w", F.xxhash64("g.v", "g.w").alias("h"))
+    met = grams.join(twos.hint("shuffle_hash").withColumnRenamed("total", "both"), ["batch", "h"], "left")
+    seen = F.col("both").isNotNull() & F.col("v").isNotNull()
+    met = met.select("batch", "row", "doc_id", "v", "w", F.when(seen, F.col("both")).alias("both"), F.when(seen, F.col("v")).otherwise(F.col("w")).alias("u"))
+    met = met.join(ones.hint("shuffle_hash"), ["batch", "u"], "left")
+    one = F.log(F.coalesce(F.col("total"), F.lit(1)).cast("double"))
+    score = F.when(F.col("both").isNotNull(), F.log(F.col("both").cast("double")) - one)
+    score = score.otherwise(F.when(F.col("v").isNotNull(), F.log(F.lit(float(alpha)))).otherwise(0.0) + (one - F.log(F.lit(float(n_words)))))
+    summed = met.groupBy("batch", "row", "doc_id").agg(
+        F.count("w").alias("n_words"),
+        F.count_if(F.col("v").isNotNull() & F.col("both").isNull()).alias("n_backoff"),
+        F.coalesce(F.sum(F.when(F.col("w").isNotNull(), score)), F.lit(0.0)).alias("log_score"),
+    )
+    out = summed.select("doc_id", "n_words", "n_backoff", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
+    with _joined_where_they_are(spark):
+        return materialise(out, "lm_scores")

@@ -390,17 +390,6 @@ def test_lm_scores(spark, rows):
         assert r["n_words"] == len(x) and r["log_score"] == pytest.approx(s) and (r["mean_log_score"] is None) == (not x)
 
 
-def test_lm_packing_round_trips():
-    import numpy as np
-
-    r = np.random.default_rng(1)
-    for n in (0, 1, 2, 1000, 20_000):
-        keys = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
-        assert (lm_scores._unpack_keys(lm_scores._pack_keys(keys)) == keys).all()
-        counts = r.integers(1, 600, n)
-        assert (lm_scores._unpack_counts(*lm_scores._pack_counts(counts)) == counts).all()
-
-
 def test_html_model_on_held_out_pages():
     model, wrong, total = html_extract.default_model(), 0, 0
     for page in html_pages.labelled_pages(150, 99):

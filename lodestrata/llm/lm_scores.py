@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialise
+from .common import SPACE, let, materialise
 from .near_dedup import word_hashes
 
 ALPHA = 0.4
 MIN_PAIRS = 2
 #: Characters of text in a batch, about.
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 12_000_000
 
 
 @contextmanager
@@ -47,7 +47,12 @@ def _joined_where_they_are(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def _pairs(words: Column) -> Column:
+def _pair_hashes(words: Column) -> Column:
+    """The hash of each word with the one before it, null for the first."""
+    return F.transform(words, lambda w, i: F.when(i > 0, F.xxhash64(F.get(words, i - 1), w)))
+
+
+def _grams(words: Column) -> Column:
     """(v, w) of each word with the one before it, which is null for the first."""
     return F.transform(words, lambda w, i: F.struct(F.when(i > 0, F.get(words, i - 1)).alias("v"), w.alias("w")))
 
@@ -70,14 +75,14 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS)
     # texts are one exchange
     line = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text").alias("line")
     batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int").alias("batch")
+    text = F.expr("substr(line, instr(line, '\n') + 1)")
     dealt = rows.select(batch, line).repartition(n_batches, "batch")
-    words = word_hashes(F.expr("substr(line, instr(line, '\n') + 1)"))
-    hashed = dealt.select("batch", "line", let(words, _pairs).alias("grams"))
-    each = hashed.select("batch", F.explode_outer("grams").alias("g")).select("batch", "g.v", "g.w", F.xxhash64("g.v", "g.w").alias("h"))
-    ones = _totals(each.where("w is not null").select("batch", F.col("w").alias("u")), "u", 2, n_tables, n_batches)
-    twos = _totals(each.where("v is not null").select("batch", "h"), "h", min_pairs, n_tables, n_batches)
+    words = dealt.select("batch", F.explode_outer(F.split(text, f"{SPACE}+")).alias("word")).where("word <> ''")
+    ones = _totals(words.select("batch", F.xxhash64("word").alias("u")), "u", 2, n_tables, n_batches)
+    pairs = dealt.select("batch", F.explode_outer(let(word_hashes(text), _pair_hashes)).alias("h")).where("h is not null")
+    twos = _totals(pairs, "h", min_pairs, n_tables, n_batches)
 
-    numbered = hashed.select("batch", F.monotonically_increasing_id().alias("row"), F.substring_index("line", "\n", 1).cast("long").alias("doc_id"), "grams")
+    numbered = dealt.select("batch", F.monotonically_increasing_id().alias("row"), F.substring_index("line", "\n", 1).try_cast("long").alias("doc_id"), let(word_hashes(text), _grams).alias("grams"))
     grams = numbered.select("batch", "row", "doc_id", F.explode_outer("grams").alias("g")).select("batch", "row", "doc_id", "g.v", "g.w", F.xxhash64("g.v", "g.w").alias("h"))
     met = grams.join(twos.hint("shuffle_hash").withColumnRenamed("total", "both"), ["batch", "h"], "left")
     seen = F.col("both").isNotNull() & F.col("v").isNotNull()

@@ -32,7 +32,7 @@ from .near_dedup import word_hashes
 ALPHA = 0.4
 MIN_PAIRS = 2
 #: Characters of text in a batch, about.
-BATCH_CHARS = 12_000_000
+BATCH_CHARS = 36_000_000
 
 
 @contextmanager
@@ -61,7 +61,7 @@ def _totals(each: DataFrame, key: str, least: int, n_tables: int, n_batches: int
     """batch, ``key`` and total: the corpus' counts, from ``least`` on, of the n-grams that each batch has."""
     counted = each.groupBy("batch", key).agg(F.count("*").alias("n")).repartition(n_tables, key)
     totals = counted.withColumn("total", F.sum("n").over(Window.partitionBy(key))).where(F.col("total") >= least)
-    return totals.select("batch", key, "total").repartition(n_batches, "batch")
+    return totals.select("batch", key, "total").repartitionById(n_batches, "batch")
 
 
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS) -> DataFrame:
@@ -76,7 +76,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS)
     line = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text").alias("line")
     batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int").alias("batch")
     text = F.expr("substr(line, instr(line, '\n') + 1)")
-    dealt = rows.select(batch, line).repartition(n_batches, "batch")
+    dealt = rows.select(batch, line).repartitionById(n_batches, "batch")
     words = dealt.select("batch", F.explode_outer(F.split(text, f"{SPACE}+")).alias("word")).where("word <> ''")
     ones = _totals(words.select("batch", F.xxhash64("word").alias("u")), "u", 2, n_tables, n_batches)
     pairs = dealt.select("batch", F.explode_outer(let(word_hashes(text), _pair_hashes)).alias("h")).where("h is not null")

@@ -390,6 +390,25 @@ def test_lm_scores(spark, rows):
         assert r["n_words"] == len(x) and r["log_score"] == pytest.approx(s) and (r["mean_log_score"] is None) == (not x)
 
 
+def test_lm_scores_of_repeated_rows_null_ids_and_one_hot_pair(spark):
+    from collections import Counter
+    from math import log
+
+    texts = ["a b c", None, "", " \n\t ", "x\ny x\x0by", "7\n8 9", "hot pair " * 3000, "a b"]
+    rows = [(i if i % 3 else None, t) for i, t in enumerate(texts)] + [(5, "7\n8 9"), (5, "7\n8 9"), (5, "other"), (None, "a b c")]
+    words = [brute.WORD.findall(t or "") for _, t in rows]
+    one, two = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:]))
+    n = sum(one.values())
+    for least in (1, 2, 3):
+        want = []
+        for (d, _), x in zip(rows, words, strict=True):
+            c = [two[p] for p in zip(x, x[1:])]
+            s = sum(log(k / one[v]) if k >= least else log(0.4 * one[w] / n) for k, v, w in zip(c, x, x[1:]))
+            want.append((str(d), len(x), sum(k < least for k in c), round(s + (log(one[x[0]] / n) if x else 0.0), 6)))
+        got = lm_scores.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), min_pairs=least).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_backoff"], round(r["log_score"], 6)) for r in got) == sorted(want)
+
+
 def test_html_model_on_held_out_pages():
     model, wrong, total = html_extract.default_model(), 0, 0
     for page in html_pages.labelled_pages(150, 99):

@@ -9,7 +9,11 @@ counted within their batch, which is the partial sum before the exchange and the
 most a row for each batch. These rows are partitioned by n-gram hash, where the counts of all batches are summed; counts
 of one are implied and go no further. The counts that a batch has n-grams for are partitioned by batch, where its
 exploded n-grams already are, so that the join to them moves no n-gram, and sums by document stay in the task. Rows
-exchanged grow with the corpus: the texts once, and distinct n-grams of batches, twice at most.
+exchanged grow with the corpus: the texts twice, and distinct n-grams of batches, twice at most.
+
+Counts of pairs are kept as a table before they are joined, and what a job has exchanged goes when it ends, so that the
+pairs of batches and the counts that return to them are never on disk together. Texts are dealt anew for each of the two
+jobs, so ``docs`` has to give the same rows each time that it is read.
 
 Defined results: a null, empty or blank text has no words, score 0.0 and mean score null. Repeated rows, rows that share
 a doc_id and rows with a null one count and are scored each. There are no ties to break: sums do not depend on order but
@@ -22,12 +26,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, let, materialise
-from .near_dedup import word_hashes
+from .common import SPACE, materialise
 
 ALPHA = 0.4
 MIN_PAIRS = 2
@@ -36,66 +39,72 @@ BATCH_CHARS = 36_000_000
 
 
 @contextmanager
-def _joined_where_they_are(spark: SparkSession) -> Iterator[None]:
-    """Tables partitioned by some of the join's keys are joined without another exchange, for what is planned inside."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """For what runs inside: tables partitioned by some of the join's keys are joined without another exchange, and
+    files of an exchange are deleted when the job ends."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def _pair_hashes(words: Column) -> Column:
-    """The hash of each word with the one before it, null for the first."""
-    return F.transform(words, lambda w, i: F.when(i > 0, F.xxhash64(F.get(words, i - 1), w)))
-
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
-def _grams(words: Column) -> Column:
-    """(v, w) of each word with the one before it, which is null for the first."""
-    return F.transform(words, lambda w, i: F.struct(F.when(i > 0, F.get(words, i - 1)).alias("v"), w.alias("w")))
 
-
-def _totals(each: DataFrame, key: str, least: int, n_tables: int, n_batches: int) -> DataFrame:
+def _totals(each: DataFrame, key: str, least: int, n_tables: int) -> DataFrame:
     """batch, ``key`` and total: the corpus' counts, from ``least`` on, of the n-grams that each batch has."""
     counted = each.groupBy("batch", key).agg(F.count("*").alias("n")).repartition(n_tables, key)
     totals = counted.withColumn("total", F.sum("n").over(Window.partitionBy(key))).where(F.col("total") >= least)
-    return totals.select("batch", key, "total").repartitionById(n_batches, "batch")
+    return totals.select("batch", key, "total")
 
 
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score and mean_log_score of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    with _settings(spark):
+        return _scores(spark, docs, alpha, min_pairs)
+
+
+def _scores(spark: SparkSession, docs: DataFrame, alpha: float, min_pairs: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")).alias("words")).first()
-    n_batches, n_words = max(spark.sparkContext.defaultParallelism, (size["chars"] or 0) // BATCH_CHARS + 1), max(size["words"] or 0, 1)
+    n_batches = max(spark.sparkContext.defaultParallelism, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BATCH_CHARS + 1)
     n_tables = max(n_batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the id stands before its text in one column, and rows without words are no filter, so that all uses of the dealt
-    # texts are one exchange
+    # texts in a job are one exchange
     line = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text").alias("line")
     batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int").alias("batch")
-    text = F.expr("substr(line, instr(line, '\n') + 1)")
     dealt = rows.select(batch, line).repartitionById(n_batches, "batch")
-    words = dealt.select("batch", F.explode_outer(F.split(text, f"{SPACE}+")).alias("word")).where("word <> ''")
-    ones = _totals(words.select("batch", F.xxhash64("word").alias("u")), "u", 2, n_tables, n_batches)
-    pairs = dealt.select("batch", F.explode_outer(let(word_hashes(text), _pair_hashes)).alias("h")).where("h is not null")
-    twos = _totals(pairs, "h", min_pairs, n_tables, n_batches)
-
-    numbered = dealt.select("batch", F.monotonically_increasing_id().alias("row"), F.substring_index("line", "\n", 1).try_cast("long").alias("doc_id"), let(word_hashes(text), _grams).alias("grams"))
-    grams = numbered.select("batch", "row", "doc_id", F.explode_outer("grams").alias("g")).select("batch", "row", "doc_id", "g.v", "g.w", F.xxhash64("g.v", "g.w").alias("h"))
-    met = grams.join(twos.hint("shuffle_hash").withColumnRenamed("total", "both"), ["batch", "h"], "left")
-    seen = F.col("both").isNotNull() & F.col("v").isNotNull()
-    met = met.select("batch", "row", "doc_id", "v", "w", F.when(seen, F.col("both")).alias("both"), F.when(seen, F.col("v")).otherwise(F.col("w")).alias("u"))
+    # of a blank text, one empty word
+    words = F.split(F.btrim(F.expr("substr(line, instr(line, '\n') + 1)"), F.lit(" \t\n\x0b\f\r")), f"{SPACE}+").alias("words")
+
+    befores, afters = F.slice("words", 1, F.size("words") - 1).alias("v"), F.slice("words", 2, F.size("words")).alias("w")
+    pairs = dealt.select("batch", words).select("batch", F.inline(F.arrays_zip(befores, afters)))
+    twos = materialise(_totals(pairs.select("batch", F.xxhash64("v", "w").alias("h")), "h", min_pairs, n_tables), "lm_pairs")
+    twos = twos.withColumnRenamed("total", "both").repartitionById(n_batches, "batch")
+    ones = dealt.select("batch", F.explode(words).alias("w")).where("w <> ''")
+    ones = _totals(ones.select("batch", F.xxhash64("w").alias("u")), "u", 2, n_tables).repartitionById(n_batches, "batch")
+
+    # each word w with the one before it, v, which is null for the first; a row behind the last word has no w
+    numbered = dealt.select("batch", F.monotonically_increasing_id().alias("row"), F.substring_index("line", "\n", 1).try_cast("long").alias("doc_id"), words)
+    grams = numbered.select("batch", "row", "doc_id", F.inline(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), "words").alias("v"), F.col("words").alias("w"))))
+    is_word, is_pair = F.coalesce(F.col("w") != "", F.lit(False)), F.col("v").isNotNull() & F.col("w").isNotNull()
+    grams = grams.select("batch", "row", "doc_id", is_word.alias("is_word"), is_pair.alias("is_pair"), F.xxhash64("v", "w").alias("h"), F.xxhash64("v").alias("hv"), F.xxhash64("w").alias("hw"))
+    met = grams.join(twos.hint("shuffle_hash"), ["batch", "h"], "left")
+    seen = F.col("both").isNotNull() & F.col("is_pair")
+    met = met.select("batch", "row", "doc_id", "is_word", "is_pair", F.when(seen, F.col("both")).alias("both"), F.when(seen, F.col("hv")).otherwise(F.col("hw")).alias("u"))
     met = met.join(ones.hint("shuffle_hash"), ["batch", "u"], "left")
     one = F.log(F.coalesce(F.col("total"), F.lit(1)).cast("double"))
-    score = F.when(F.col("both").isNotNull(), F.log(F.col("both").cast("double")) - one)
-    score = score.otherwise(F.when(F.col("v").isNotNull(), F.log(F.lit(float(alpha)))).otherwise(0.0) + (one - F.log(F.lit(float(n_words)))))
+    part = F.when(F.col("both").isNotNull(), F.log(F.col("both").cast("double")) - one).when(F.col("is_pair"), F.log(F.lit(float(alpha))) + one).otherwise(one)
     summed = met.groupBy("batch", "row", "doc_id").agg(
-        F.count("w").alias("n_words"),
-        F.count_if(F.col("v").isNotNull() & F.col("both").isNull()).alias("n_backoff"),
-        F.coalesce(F.sum(F.when(F.col("w").isNotNull(), score)), F.lit(0.0)).alias("log_score"),
+        F.count_if("is_word").alias("n_words"),
+        F.count_if(F.col("is_pair") & F.col("both").isNull()).alias("n_backoff"),
+        F.coalesce(F.sum(F.when(F.col("is_word"), part)), F.lit(0.0)).alias("part"),
     )
-    out = summed.select("doc_id", "n_words", "n_backoff", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
-    with _joined_where_they_are(spark):
-        return materialise(out, "lm_scores")
+    summed = materialise(summed.select("doc_id", "n_words", "n_backoff", "part"), "lm_scores")
+    # ln N is taken off once for the first word and once for each that backs off
+    n_words = max(summed.agg(F.sum("n_words")).first()[0] or 0, 1)
+    log_score = F.col("part") - (F.col("n_backoff") + (F.col("n_words") > 0).cast("long")) * F.log(F.lit(float(n_words)))
+    out = summed.select("doc_id", "n_words", "n_backoff", log_score.alias("log_score"))
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

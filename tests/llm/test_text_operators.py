@@ -409,6 +409,32 @@ def test_lm_scores_of_repeated_rows_null_ids_and_one_hot_pair(spark):
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_backoff"], round(r["log_score"], 6)) for r in got) == sorted(want)
 
 
+def test_lm_scores_deletes_what_each_job_exchanged(spark, monkeypatch):
+    from time import sleep
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def exchanged():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before, keep, left = exchanged(), lm_scores.materialise, []
+
+    def kept(df, name):
+        out = keep(df, name)
+        for _ in range(100):
+            if not exchanged() - before:
+                break
+            sleep(0.1)
+        left.append((name, len(exchanged() - before)))
+        return out
+
+    monkeypatch.setattr(lm_scores, "materialise", kept)
+    got = lm_scores.lm_scores(frame(spark, [(1, "\x0b\x0cf a f\r"), (2, "f a\tf"), (3, "\x0b"), (4, None)])).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_backoff"]) for r in got) == [(1, 3, 0), (2, 3, 0), (3, 0, 0), (4, 0, 0)]
+    assert left == [("lm_pairs", 0), ("lm_scores", 0)]
+
+
 def test_html_model_on_held_out_pages():
     model, wrong, total = html_extract.default_model(), 0, 0
     for page in html_pages.labelled_pages(150, 99):

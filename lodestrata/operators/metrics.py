@@ -51,10 +51,13 @@ def _new(found: Column) -> Column:
     return F.transform(found, lambda x, i: x.isNotNull() & ~F.coalesce(F.array_contains(F.slice(found, 1, i), x), F.lit(False)))
 
 
-def set_metrics(ranked: Column, known: Column, suffix: str = "", cuts=CUTS) -> list[Column]:
-    """Exact-match metrics of an ordered array against a set; repeated predictions count as returned once each."""
+def set_metrics(ranked: Column, known: Column, suffix: str = "", cuts=CUTS, size: Column | None = None) -> list[Column]:
+    """Exact-match metrics of an ordered array against a set; repeated predictions count as returned once each.
+
+    Of a set that is too large to carry, ``known`` need hold no more than what is ranked, if ``size`` is the whole set's.
+    """
     out: list[Column] = []
-    n = F.size(known)
+    n = F.size(known) if size is None else size
     for k in cuts:
         top = F.slice(ranked, 1, k)
         out += _at(F.size(F.array_intersect(top, known)), F.size(top), n, k, suffix)

@@ -512,10 +512,13 @@ def rank_metrics(spark, d):
 
 def _metrics(spark, d, near, some):
     e = _t(spark, d, "embeddings").select("vec_id", "label")
-    ranked = near.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("ranked"))
-    q = e.where(some).select(F.col("vec_id").alias("query"), "label")
-    known = q.join(e, "label").where("vec_id <> query").groupBy("query").agg(F.collect_set("vec_id").alias("known"))
-    m = ranked.join(known, "query").select("query", *metrics.set_metrics(F.col("ranked"), F.col("known")))
+    q = e.where(some).select(F.col("vec_id").alias("query"), F.col("label").alias("query_label")).distinct()
+    # of the vectors of a label only those that are ranked are listed; the others are a number
+    sizes = e.groupBy(F.col("label").alias("query_label")).agg(F.count_distinct("vec_id").alias("n")).where("n > 1")
+    hit = F.when(F.col("label") == F.col("query_label"), F.col("doc"))
+    met = near.join(e.select(F.col("vec_id").alias("doc"), "label"), "doc").join(q, "query").join(sizes, "query_label")
+    m = met.groupBy("query", "n").agg(F.transform(F.sort_array(F.collect_set(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("ranked"), F.collect_set(hit).alias("known"))
+    m = m.select("query", *metrics.set_metrics(F.col("ranked"), F.col("known"), size=F.col("n") - 1))
     return m.select("query", "hit_1", "hit_10", "precision_5", *[_r(F.col(c)).alias(c) for c in ("recall_10", "iou_10", "mrr", "map")])
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.sources.shared import kept
 
+#: Rows of whole scopes that a task follows in memory; a scope with more goes by joins.
+MOST = 200_000
+
 
 def root_paths(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """All upward paths from each start (node) over edges (child, parent): path array, ends where no unvisited parent is.
@@ -66,11 +73,106 @@ def chase(links: DataFrame) -> DataFrame:
     return out.select("node", F.when(F.col("end"), F.col("to")).otherwise(F.col("low")).alias("root"), F.when(F.col("end"), F.col("steps")).alias("steps"))
 
 
-def linear_chains(commits: DataFrame, scope: list[str]) -> DataFrame:
+def scope_numbers(t: pa.Table, scope: list[str]) -> np.ndarray:
+    """A number for each run of rows of one scope; rows with a null in it are alone."""
+    new = np.zeros(len(t), bool)
+    new[:1] = True
+    for c in scope:
+        code = t[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        new[1:] |= (code[1:] != code[:-1]) | (code[1:] < 0)
+    return np.cumsum(new) - 1
+
+
+def in_scopes(df: DataFrame, scope: list[str], local: Callable[[pa.Table, np.ndarray], list[pa.Array]], added: str, joined: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """``df`` with the columns ``added`` (name type, ...), which depend on the rows of one scope only.
+
+    Scopes meet whole in a task by one shuffle, and ``local`` gets some 200,000 rows of whole scopes at once, with the
+    scope's number for each; scopes of more rows than ``most`` are left to ``joined``, which returns the same columns.
+    """
+    most = most or MOST
+    names = [*df.columns, *[a.strip().split(" ")[0] for a in added.split(",")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from pa.Table.from_arrays([*t.columns, *local(t, scope_numbers(t, scope))], names).combine_chunks().to_batches(max_chunksize=20_000)
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= most:
+                t = pa.Table.from_batches(held)
+                number = scope_numbers(t, scope)
+                cut = int(np.searchsorted(number, number[-1]))
+                if cut:
+                    yield from done(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    def by_scope(some: DataFrame) -> DataFrame:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return some.repartition(*scope).sortWithinPartitions(*scope).mapInArrow(run, f"{kinds}, {added}")
+
+    # no more than a row for each ``most`` rows
+    large = [r.asDict() for r in df.groupBy(*scope).agg(F.count("*").alias("n_")).where(F.col("n_") > most).drop("n_").na.drop().collect()]
+    if not large:
+        return by_scope(df)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in scope)
+    large = F.broadcast(df.sparkSession.createDataFrame([tuple(r[c] for c in scope) for r in large], kinds))
+    return by_scope(df.join(large, scope, "left_anti").select(*df.columns)).unionByName(joined(df.join(large, scope, "left_semi").select(*df.columns)).select(*names))
+
+
+def keyed(number: np.ndarray, *columns: pa.Array) -> list[np.ndarray]:
+    """Columns of one kind as numbers, equal where scope and value are; -1 for null."""
+    code = pa.concat_arrays(columns).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    width = int(code.max(initial=0)) + 1
+    return [np.where(c < 0, -1, number * width + c) for c in np.split(code, len(columns))]
+
+
+def ends(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node the end of its way over ``following`` (-1: none) and the steps to it; -1 and 0 where it runs in a cycle."""
+    linked = following >= 0
+    to, steps = np.where(linked, following, np.arange(len(following))), linked.astype(np.int64)
+    for _ in range(len(following).bit_length()):
+        far = to[to]
+        if (far == to).all():
+            break
+        steps, to = steps + steps[to], far
+    return np.where(linked[to], -1, to), np.where(linked[to], 0, steps)
+
+
+def _local_chains(t: pa.Table, number: np.ndarray) -> list[pa.Array]:
+    text = t["id_"].combine_chunks()
+    own, parent = keyed(number, text, t["parent_"].combine_chunks())
+    nodes, at, node = np.unique(own, return_index=True, return_inverse=True)
+    up = np.searchsorted(nodes, parent)
+    up = np.where((parent >= 0) & (nodes[np.minimum(up, len(nodes) - 1)] == parent), np.minimum(up, len(nodes) - 1), -1)
+    inside = np.zeros(len(nodes), bool)
+    inside[node[up >= 0]] = True
+    rows = np.flatnonzero(up >= 0)
+    place = pa.compute.rank(t["pos"].combine_chunks(), tiebreaker="min").to_numpy().astype(np.int64)
+    rows = rows[np.lexsort((place[rows], up[rows]))]
+    rows = rows[np.r_[True, up[rows][1:] != up[rows][:-1]]] if len(rows) else rows
+    following = np.full(len(nodes), -1)
+    following[node[rows]] = up[rows]
+    end, steps = ends(following)
+    good = (end >= 0) & ~inside[end]
+    root = text.take(pa.array(at[end], mask=~good))
+    return [root.take(pa.array(node)), pa.array(steps.astype(np.int32), mask=~good).take(pa.array(node))]
+
+
+def linear_chains(commits: DataFrame, scope: list[str], most: int | None = None) -> DataFrame:
     """Chains of commits (id, parent_id, pos): from each commit without a parent in its scope, along first children.
 
     Returns every commit with chain_root and depth; commits on other branches of a fork have no chain (null).
     """
+    text = commits.withColumns({"id_": F.col("id").cast("string"), "parent_": F.col("parent_id").cast("string")})
+    return in_scopes(text, scope, _local_chains, "chain_root string, depth int", lambda c: _joined_chains(c, scope), most).drop("id_", "parent_")
+
+
+def _joined_chains(commits: DataFrame, scope: list[str]) -> DataFrame:
+    """The same by joins and pointer doubling, for scopes of any size."""
+    commits = kept(commits, "commits")
     ids = commits.select(*scope, F.col("id").alias("parent_id")).distinct()
     inside = commits.join(ids, [*scope, "parent_id"], "left_semi")
     first = inside.groupBy(*scope, "parent_id").agg(F.min_by("id", "pos").alias("id"))

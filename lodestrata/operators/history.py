@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.columns import cherry_sources, script_redirect
-from lodestrata.operators.graph import chase, kept
+from lodestrata.operators.graph import chase, ends, in_scopes, keyed, kept
 from lodestrata.operators.merge import hash_prefix_join
 
-
-def cherry_roots(commits: DataFrame, scope: str) -> DataFrame:
+#: Characters that a cited hash has at least.
+SHORTEST = 7
+
+
+def _local_roots(t: pa.Table, number: np.ndarray) -> list[pa.Array]:
+    ids = t["id"].combine_chunks()
+    (own,) = keyed(number, ids)
+    rows = pd.DataFrame({"n": number, "node": own, "id": pa.compute.utf8_lower(ids).to_pandas(), "hash": t["cited_"].to_pandas()})
+    rows["pos"] = pa.compute.rank(t["pos"].combine_chunks(), tiebreaker="min").to_numpy()
+    nodes, at, node = np.unique(own, return_index=True, return_inverse=True)
+    cited = rows[rows["hash"].str.len() >= SHORTEST].assign(p=lambda x: x["hash"].str[:SHORTEST])
+    side = rows[rows["id"].notna() & rows["n"].isin(cited["n"])].assign(p=lambda x: x["id"].str[:SHORTEST])
+    met = cited.merge(side, on=["n", "p"], suffixes=("", "_to"))
+    fits = np.array([b.startswith(h[:40]) and a != b for h, a, b in zip(met["hash"], met["id"], met["id_to"], strict=True)], dtype=bool)
+    met = met[fits].assign(e=lambda x: (x["id_to"] != x["hash"]).astype(int)).sort_values(["node", "e", "pos_to"], kind="stable").drop_duplicates("node")
+    following = np.full(len(nodes), -1)
+    following[np.searchsorted(nodes, met["node"].to_numpy(np.int64))] = np.searchsorted(nodes, met["node_to"].to_numpy(np.int64))
+    end, _ = ends(following)
+    root = at[np.where(end >= 0, end, np.arange(len(nodes)))]
+    return [ids.take(pa.array(root[node]))]
+
+
+def cherry_roots(commits: DataFrame, scope: str, most: int | None = None) -> DataFrame:
     """Commits (scope, id, message, pos) with root: where the chain of cherry-picks that their messages cite begins.
 
     A cited hash may be a prefix; it names the first commit of the scope that it fits. A cycle's members stay.
     """
+    cited = commits.withColumn("cited_", F.get(cherry_sources(F.col("message")), F.lit(0)))
+    return in_scopes(cited, [scope], _local_roots, "root string", lambda c: _joined_roots(c.drop("cited_"), scope).withColumn("cited_", F.lit(None).cast("string")), most).drop("cited_")
+
+
+def _joined_roots(commits: DataFrame, scope: str) -> DataFrame:
+    """The same by a join on prefixes and pointer doubling, for scopes of any size."""
+    commits = kept(commits, "commits")
     cited = commits.select(scope, F.col("id").alias("from"), F.get(cherry_sources(F.col("message")), F.lit(0)).alias("hash")).where("hash is not null")
     side = commits.select(F.col(scope).alias("scope_"), "id", "pos")
     fits = hash_prefix_join(cited, side, n=40).where((F.col(scope) == F.col("scope_")) & (F.lower("id") != F.lower("from")))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.columns import bare_name, squeeze
+from lodestrata.sources.shared import kept
 
 _LITERAL = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|R"([^\s()\\]{0,16})\(.*?\)\1"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
 _DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b", re.M)
@@ -150,8 +152,9 @@ def _per_row(df: DataFrame, keys: list[str], code: str, columns: str, each) -> D
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = lru_cache(256)(each)  # versions of a file are often the same text
         for b in batches:
-            rows = [(*k, *r) for *k, text in zip(*[b[x] for x in keys], b[code], strict=True) for r in each(text or "")]
+            rows = [(*k, *r) for *k, text in zip(*[b[x] for x in keys], b[code], strict=True) for r in (seen if len(text or "") < 65_536 else each)(text or "")]
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -178,6 +181,7 @@ def function_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     a = old.groupBy(*keys, "sig").agg(F.min("body").alias("code"))
     b = new.groupBy(*keys, "sig").agg(F.min("body").alias("code_after"))
     met = a.withColumn("old_sig", F.col("sig")).join(b.withColumn("new_sig", F.col("sig")), [*keys, "sig"], "full")
+    met = kept(met, "functions")  # read for each kind of change, scanned once
     changed = met.where("old_sig is not null and new_sig is not null").where(F.sha1(squeeze(F.col("code"))) != F.sha1(squeeze(F.col("code_after"))))
     gone = met.where("new_sig is null").select(*keys, "old_sig", "code", bare_name(F.col("old_sig")).alias("name_"))
     come = met.where("old_sig is null").select(*keys, "new_sig", "code_after", bare_name(F.col("new_sig")).alias("name_"))
@@ -212,8 +216,6 @@ def greedy_matches(pairs: DataFrame, keys: list[str], least: float) -> DataFrame
 
     Every round takes all mutually best pairs at once, which is what taking the best pair of all, again and again, gives.
     """
-    from lodestrata.operators.graph import kept
-
     left, out = kept(pairs.where(F.col("score") >= least)), None
     while not left.isEmpty():
         top_a = left.groupBy(*keys, "a").agg(F.max_by("b", F.struct("score", "a", "b")).alias("b"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.columns import HEADER, IMPLEMENTATION, canonical_message, dirname, extension, qualified_name
+from lodestrata.sources.shared import kept
 
 __all__ = ["HEADER", "canonical_duplicates", "collapse_headers", "first_by", "mark_singletons", "net_state", "without_singletons"]
 
@@ -50,7 +51,9 @@ def without_singletons(df: DataFrame, keys: list[str], owner: str, least: int =
 
 def mark_singletons(df: DataFrame, keys: list[str], owner: str, label: str, instead: str) -> DataFrame:
     """Rows whose key has one owner get another label; owners left without a label other than that go."""
-    marked = df.join(_counted(df, keys, owner), keys).withColumn(label, F.when(F.col("n_owners") < 2, instead).otherwise(F.col(label))).drop("n_owners")
+    df = kept(df, "labelled")  # read for the counts, the labels and the owners that stay
+    one = kept(df.groupBy(*keys).agg(F.coalesce(F.min(owner) == F.max(owner), F.lit(True)).alias("one_")), "owners")
+    marked = df.join(one, keys).withColumn(label, F.when(F.col("one_"), instead).otherwise(F.col(label))).drop("one_")
     alive = marked.where(F.col(label) != instead).select(owner).distinct()
     return marked.join(alive, owner, "left_semi")
 

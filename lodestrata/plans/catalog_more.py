@@ -65,6 +65,7 @@ def _chains(spark, d):
     func = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("ns::f"), (F.col("l_partkey") % 6).cast("string"), F.lit(":void(int)")).alias("sig"), F.lit("x").alias("code"), label.alias("classification"))
     file = F.concat(F.lit("src/"), F.lower("l_returnflag"), F.when(F.col("l_suppkey") % 2 == 0, ".cc").otherwise(".h"))
     rows = li.select("l_orderkey", file.alias("filename"), F.when(F.col("l_linestatus") == "O", "modified").otherwise("removed").alias("cat"), func.alias("f"))
+    rows = rows.repartition("l_orderkey")  # both levels are gathered where an order is
     of = lambda c: F.sort_array(F.collect_list(F.when(F.col("cat") == c, F.col("f")))).alias(c)
     files = rows.groupBy("l_orderkey", "filename").agg(of("modified"), of("removed"))
     diff = F.struct("filename", F.struct("modified", "removed").alias("diff_funcs"))

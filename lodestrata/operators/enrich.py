@@ -58,45 +58,66 @@ def mask_answer(answer: Column, original: Column) -> Column:
     """
     v = F.try_parse_json(json_in_answer(answer))
 
-    def checked(x: Column) -> Column:
-        fields = F.try_variant_get(x, "$", "map<string,variant>")
-        missing = F.array_except(F.array(*map(F.lit, ("has_leakage", "replacements", "sanitized_desc"))), F.map_keys(fields))
-        kind = lambda name: F.schema_of_variant(F.try_element_at(fields, F.lit(name)))
-        flag = F.try_variant_get(F.try_element_at(fields, F.lit("has_leakage")), "$", "boolean")
-        text = F.trim(F.try_variant_get(F.try_element_at(fields, F.lit("sanitized_desc")), "$", "string"))
-        items = F.try_variant_get(F.try_element_at(fields, F.lit("replacements")), "$", "array<variant>")
-        part = lambda i, name: F.trim(F.coalesce(F.try_variant_get(i, f"$.{name}", "string"), F.lit("")))
-        named = lambda i: F.element_at(F.create_map(*[F.lit(y) for kv in MASK_ALIASES.items() for y in kv]), F.lower(part(i, "type")))
+    def part(i: Column, name: str) -> Column:
+        return F.trim(F.coalesce(F.try_variant_get(i, f"$.{name}", "string"), F.lit("")))
+
+    names = F.create_map(*[F.lit(y) for kv in MASK_ALIASES.items() for y in kv])
+
+    def read(fields: Column) -> Column:
+        """Each field read once."""
+        at = lambda name: F.try_element_at(fields, F.lit(name))
+        kind = lambda name: F.schema_of_variant(at(name))
+        items = F.transform(
+            F.try_variant_get(at("replacements"), "$", "array<variant>"),
+            lambda i: F.struct(F.schema_of_variant(i).startswith("OBJECT").alias("whole"), F.element_at(names, F.lower(part(i, "type"))).alias("type"), part(i, "original").alias("original")),
+        )
+        return F.struct(
+            fields.isNull().alias("none"),
+            F.array_except(F.array(*map(F.lit, ("has_leakage", "replacements", "sanitized_desc"))), F.map_keys(fields)).alias("missing"),
+            (kind("has_leakage") != "BOOLEAN").alias("no_flag"),
+            (kind("sanitized_desc") != "STRING").alias("no_text"),
+            (~kind("replacements").startswith("ARRAY")).alias("no_list"),
+            F.try_variant_get(at("has_leakage"), "$", "boolean").alias("flag"),
+            F.trim(F.try_variant_get(at("sanitized_desc"), "$", "string")).alias("text"),
+            items.alias("items"),
+        )
+
+    def judged(r: Column) -> Column:
         faults = F.transform(
-            items,
-            lambda i: F.when(~F.schema_of_variant(i).startswith("OBJECT"), "a replacement is no object")
-            .when(part(i, "original") == "", "a replacement has no original")
-            .when(named(i).isNull(), "a replacement's type is unknown"),
+            r["items"],
+            lambda i: F.when(~i["whole"], "a replacement is no object").when(i["original"] == "", "a replacement has no original").when(i["type"].isNull(), "a replacement's type is unknown"),
         )
-        fault = F.get(F.filter(faults, lambda f: f.isNotNull()), F.lit(0))
-        rows = F.array_distinct(F.transform(items, lambda i: F.struct(named(i).alias("type"), part(i, "original").alias("original"))))
-        rows = F.filter(rows, lambda r: F.contains(text, F.concat(F.lit("<"), r["type"], F.lit(">"))))
+        rows = F.array_distinct(F.transform(r["items"], lambda i: F.struct(i["type"].alias("type"), i["original"].alias("original"))))
+        rows = F.filter(rows, lambda i: F.contains(r["text"], F.concat(F.lit("<"), i["type"], F.lit(">"))))
+        return F.struct(r.alias("r"), F.get(F.filter(faults, lambda f: f.isNotNull()), F.lit(0)).alias("fault"), rows.alias("rows"))
+
+    def told(j: Column) -> Column:
+        r, rows, flag = j["r"], j["rows"], j["r"]["flag"]
         problem = (
-            F.when(fields.isNull(), "no JSON")
-            .when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ", ")))
-            .when(kind("has_leakage") != "BOOLEAN", "has_leakage is no boolean")
-            .when(flag & (kind("sanitized_desc") != "STRING"), "sanitized_desc is no text")
-            .when(flag & (text == ""), "sanitized_desc is empty")
-            .when(~kind("replacements").startswith("ARRAY"), "replacements is no list")
-            .when(fault.isNotNull(), fault)
-            .when(flag & (placeholders(text) == 0), "no placeholder")
+            F.when(r["none"], "no JSON")
+            .when(F.size(r["missing"]) > 0, F.concat(F.lit("missing keys: "), F.array_join(r["missing"], ", ")))
+            .when(r["no_flag"], "has_leakage is no boolean")
+            .when(flag & r["no_text"], "sanitized_desc is no text")
+            .when(flag & (r["text"] == ""), "sanitized_desc is empty")
+            .when(r["no_list"], "replacements is no list")
+            .when(j["fault"].isNotNull(), j["fault"])
+            .when(flag & (placeholders(r["text"]) == 0), "no placeholder")
             .when(flag & (F.size(rows) == 0), "no replacement is left")
         )
-        good = problem.isNull()
+        return F.struct(j.alias("j"), problem.alias("problem"))
+
+    def put(x: Column) -> Column:
+        good, flag = x["problem"].isNull(), x["j"]["r"]["flag"]
         none = F.array().cast("array<struct<type:string,original:string>>")
         return F.struct(
-            problem.alias("problem"),
+            x["problem"].alias("problem"),
             F.when(good, flag).alias("has_leakage"),
-            F.when(good, F.when(flag, text).otherwise(original)).alias("sanitized_desc"),
-            F.when(good, F.when(flag, rows).otherwise(none)).alias("replacements"),
+            F.when(good, F.when(flag, x["j"]["r"]["text"]).otherwise(original)).alias("sanitized_desc"),
+            F.when(good, F.when(flag, x["j"]["rows"]).otherwise(none)).alias("replacements"),
         )
 
-    return let(v, checked)
+    fields = let(v, lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
+    return let(let(let(let(fields, read), judged), told), put)
 
 
 def mask_errors(answer: Column) -> Column:

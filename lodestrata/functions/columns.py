@@ -273,6 +273,21 @@ def same_file(predicted: Column, known: Column) -> Column:
     return filled(predicted).isNull() | F.coalesce(both, F.lit(False))
 
 
+def match_keys(file: Column, sig: Column) -> Column:
+    """What ``same_file`` and ``same_function`` compare, for one item: blank, base names without and with extension, name.
+
+    Paths of which one is the other's end have one base name.
+    """
+    path = F.regexp_replace(slashes(F.trim(file)), r"^[./]+", "")
+    name = F.get(F.reverse(name_parts(sig)), F.lit(0))
+    return let(path, lambda p: F.struct(filled(file).isNull().alias("blank"), basename(p).alias("base"), basename(source_stem(p)).alias("stem"), name.alias("name")))
+
+
+def same_keys(predicted: Column, known: Column) -> Column:
+    alike = (predicted["base"] == known["base"]) | (predicted["stem"] == known["stem"])
+    return F.coalesce(predicted["name"] == known["name"], F.lit(False)) & (predicted["blank"] | F.coalesce(alike, F.lit(False)))
+
+
 # Tokens
 
 
@@ -355,7 +370,7 @@ def json_in_answer(text: Column) -> Column:
     """The JSON text of a model's answer: without code fences, else from the first brace to the last; null if invalid."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*```[a-zA-Z]*\s*", ""), r"\s*```\s*$", ""))
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    ok = lambda c: F.when(F.schema_of_variant(F.try_parse_json(c)).rlike("^(OBJECT|ARRAY)<"), c)
+    ok = lambda c: let(c, lambda t: F.when(F.schema_of_variant(F.try_parse_json(t)).rlike("^(OBJECT|ARRAY)<"), t))
     return F.coalesce(ok(bare), ok(inner))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.functions.columns import filled, let, same_file, same_function, stem
+from lodestrata.functions.columns import filled, let, match_keys, same_keys, stem
 from lodestrata.operators.split import counts_before
 
 CUTS = (1, 3, 5, 10)
@@ -80,7 +80,8 @@ def instance_metrics(df: DataFrame, predicted: str = "predicted", known: str = "
     keys = [c for c in df.columns if c not in (predicted, known)]
     p = F.coalesce(F.col(predicted), F.array().cast("array<struct<file:string,sig:string>>"))
     g = F.coalesce(F.col(known), F.array().cast("array<struct<file:string,sig:string>>"))
-    matches = F.transform(p, lambda x: F.filter(F.transform(g, lambda y, i: F.when(same_file(x["file"], y["file"]) & same_function(x["sig"], y["sig"]), i)), lambda i: i.isNotNull()))
+    forms = lambda c: F.transform(c, lambda x: match_keys(x["file"], x["sig"]))  # noqa: E731  once an item, not once a pair
+    matches = let(forms(g), lambda ys: F.transform(forms(p), lambda x: F.filter(F.transform(ys, lambda y, i: F.when(same_keys(x, y), i)), lambda i: i.isNotNull())))
     m = df.select(*keys, matches.alias("matches_"), F.size(p).alias("returned_"), F.size(g).alias("known_"), file_keys(p).alias("files_"), file_keys(g).alias("gt_files_"))
 
     def taken(rows: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.columns import bare_name, squeeze
-from lodestrata.sources.shared import kept
+from lodestrata.sources.shared import kept, ship
 
 _LITERAL = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|R"([^\s()\\]{0,16})\(.*?\)\1"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
 _DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b", re.M)
@@ -149,6 +149,7 @@ def functions(code: str) -> list[tuple[str, str, int, int]]:
 
 
 def _per_row(df: DataFrame, keys: list[str], code: str, columns: str, each) -> DataFrame:
+    ship(df.sparkSession)
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.sources.shared import kept
+from lodestrata.sources.shared import kept, ship
 
 #: Rows of whole scopes that a task follows in memory; a scope with more goes by joins.
 MOST = 200_000
@@ -89,6 +89,7 @@ def in_scopes(df: DataFrame, scope: list[str], local: Callable[[pa.Table, np.nda
     Scopes meet whole in a task by one shuffle, and ``local`` gets some 200,000 rows of whole scopes at once, with the
     scope's number for each; scopes of more rows than ``most`` are left to ``joined``, which returns the same columns.
     """
+    ship(df.sparkSession)
     most = most or MOST
     names = [*df.columns, *[a.strip().split(" ")[0] for a in added.split(",")]]
 
